@@ -2,4 +2,82 @@
 
 from __future__ import annotations
 
+from . import chat, secrets, sharding
+
 SQL: dict[str, str] = {}
+
+
+def _spans_of(rule: secrets.Rule, order: int) -> str:
+    """All spans of one rule: pieces between the matches tell where each match starts."""
+    regex = rule.regex.replace("(?i:(password|passwd|secret|token|api_?key))", "((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))")
+    quoted = "'" + regex.replace("'", "''") + "'"
+    return f"""SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, i, part, hit, len FROM (
+      SELECT doc_id, string_split_regex(text, {quoted}) AS parts, regexp_extract_all(text, {quoted}, 0) AS hits,
+             list_transform(regexp_extract_all(text, {quoted}, {rule.group}), lambda g: length(g)) AS lens FROM docs),
+      LATERAL (SELECT unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(parts[1:len(hits)]) AS part, unnest(lens) AS len)"""
+
+
+def _secret_sql() -> str:
+    least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in secrets.RULES)
+    parts = "\n    UNION ALL ".join(_spans_of(r, i) for i, r in enumerate(secrets.RULES))
+    base = ", ".join(f"'{k}'" for k in secrets.BASE_KINDS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE_KINDS)
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    raw AS ({parts}),
+    placed AS (SELECT *, sum(length(part) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM raw),
+    spans AS (SELECT doc_id, kind, ord, stop - length(hit) AS start, stop FROM placed WHERE len >= CASE kind {least} END),
+    joined AS (SELECT doc_id, {counts}, string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, ord) FILTER (kind IN ({base})) AS base,
+      string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, ord) AS spans FROM spans GROUP BY doc_id)
+    SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM docs d LEFT JOIN joined USING (doc_id)"""
+
+
+SQL["op1_secret_scan"] = _secret_sql()
+
+SQL["op2_chat_format"] = rf"""WITH rows AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum({len(chat.BEGIN)} + length(url_encode(role)) + 1 + {len(chat.END)} + length(regexp_replace(text, '([<\[])(\\*)({chat.CONTROL})', '\1\\\2\3', 'g')))::BIGINT AS formatted_chars
+    FROM rows GROUP BY conv_id"""
+
+
+def _tree_sql() -> str:
+    tree = sharding.hash_tree()
+
+    def level(nodes):
+        return ", ".join(f"('{n.name}', {n.weight}, '{parent}', {-1 if n.shard is None else n.shard})" for parent, n in nodes)
+
+    regions = [("root", r) for r in tree.children]
+    racks = [(r.name, k) for r in tree.children for k in r.children]
+    shards = [(k.name, s) for _, k in racks for s in k.children]
+    new = tree.grown().children[-1]
+    draw = "-ln((('0x' || substr(md5(key || '|' || name), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / weight"
+    return f"""WITH RECURSIVE crc(n, k, c) AS (SELECT n, 0, n FROM range(256) t(n) UNION ALL
+      SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+    tbl AS (SELECT list(c ORDER BY n) AS t FROM crc WHERE k = 8),
+    docs AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, encode(coalesce(text, '')) AS raw FROM documents),
+    bytes AS (SELECT doc_id, key, octet_length(raw) AS n, list_transform(regexp_extract_all(hex(raw), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM docs),
+    sums AS (SELECT doc_id, key, n + {sharding.ROW_BYTES} AS size,
+      xor(list_reduce(b, lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM bytes, tbl),
+    regions(name, weight, parent, shard) AS (VALUES {level(regions)}), racks(name, weight, parent, shard) AS (VALUES {level(racks)}),
+    shards(name, weight, parent, shard) AS (VALUES {level(shards)}),
+    r AS (SELECT doc_id, key, arg_min(name, {draw}) AS region, min({draw}) AS best FROM sums, regions GROUP BY doc_id, key),
+    k AS (SELECT doc_id, key, best, arg_min(name, {draw}) AS rack FROM r JOIN racks ON parent = region GROUP BY doc_id, key, best),
+    s AS (SELECT doc_id, key, best, arg_min(shard, {draw}) AS shard FROM k JOIN shards ON parent = rack GROUP BY doc_id, key, best)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+      row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(key), 1, 4))::BIGINT % {sharding.SLOT_BUCKETS}, doc_id) - 1 AS slot,
+      CASE WHEN {draw.replace("name", f"'{new.name}'").replace("weight", str(new.weight))} < best THEN {tree.shards} ELSE shard END AS grown_shard
+    FROM s JOIN sums USING (doc_id, key)"""
+
+
+SQL["op3_hash_tree_sharding"] = _tree_sql()
+
+SQL["op4_warc_round_trip"] = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+    f AS (SELECT page_id, raw, sha256(raw) AS digest, min(page_id) OVER (PARTITION BY raw) AS first FROM p),
+    g AS (SELECT *, octet_length(raw) >= 100 AND first <> page_id AS again FROM f)
+    SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN again THEN first END AS refers_to, CASE WHEN again THEN NULL ELSE true END AS verified FROM g"""
