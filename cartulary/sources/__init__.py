@@ -1 +1 @@
-
+"""Readers: typed tables, and the artifacts that corpus analytics starts from."""
