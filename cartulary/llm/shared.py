@@ -1,110 +1,6 @@
 """Helpers that several training-data operators share."""
 
-from __future__ import annotations
+from ..operators.graph import connected_components
+from ..plans.scratch import materialize, scratch_dir
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_LOCAL_SCRATCH: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Where the setting is missing, a local master (tests) gets one temporary
-    folder of its own; a real cluster must name a shared folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _LOCAL_SCRATCH:
-            _LOCAL_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="spark-cartulary-"))
-        base = _LOCAL_SCRATCH[0]
-    return f"{base.rstrip('/')}/cartulary-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that no plan refers to any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def contract_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replace the edges of each Arrow batch by a star forest with the same components."""
-    for batch in batches:
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            root = x
-            while (up := parent.setdefault(root, root)) != root:
-                root = up
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
-
-        for a, b in zip(batch["hi"].tolist(), batch["lo"].tolist()):
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-        pairs = [(x, find(x)) for x in parent]
-        pairs = [(x, r) for x, r in pairs if x != r]
-        yield pd.DataFrame(pairs, columns=["hi", "lo"], dtype="int64")
-
-
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 80) -> DataFrame:
-    """``(node, component)`` for every node of ``edges``; component is the smallest node reached.
-
-    Alternating large-star and small-star steps: each is a grouped minimum
-    (combined map-side) joined back to the edges, so a node with very many
-    neighbours is never gathered, and Spark can split its join partition.
-    Every round is written to the shared folder; a lost executor repeats one
-    round at most.
-    """
-    spark = edges.sparkSession
-    now = (
-        edges.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo"))
-        .where("hi <> lo")
-        .mapInPandas(contract_edges, "hi long, lo long")
-        .distinct()
-    )
-    path = scratch_dir(spark)
-    now.write.parquet(path)
-    before = None
-    for _ in range(max_rounds):
-        now = spark.read.schema("hi long, lo long").parquet(path)
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(seen) == before or seen[0] == 0:
-            break
-        before = tuple(seen)
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(low, "hi")
-            .select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-            .select("e.hi", "e.lo")
-            .where("hi <> lo")
-            .distinct()
-        )
-        new = scratch_dir(spark)
-        small.write.parquet(new)
-        drop_path(spark, path)
-        path = new
-    else:
-        raise RuntimeError("components did not settle")
-    stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    return stars.union(now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct()
+__all__ = ["connected_components", "materialize", "scratch_dir"]
