@@ -87,19 +87,14 @@ def readability(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return counts.withColumn("grade", numbers.half_up(0.39 * F.col("words") / F.col("sentences") + 11.8 * F.col("syllables") / F.col("words") - 15.59, 1))
 
 
-def shingle_similarity(items: DataFrame, id_col: str, list_col: str, least: float = 0.6) -> DataFrame:
-    """``(a, b, similarity)``: pairs of equal-or-better Jaccard over bigrams of a list, rounded to two places first.
+def set_similarity(sets: DataFrame, id_col: str, set_col: str, least: float = 0.6) -> DataFrame:
+    """``(a, b, similarity)``: pairs of sets whose Jaccard similarity, rounded to two places first, reaches ``least``.
 
-    Rows with equal lists are one representative, the smallest id. Prefix
-    filtering keeps the posting join small: bigrams are ordered from rare to
-    frequent, and a pair that reaches the threshold shares one of each side's
-    first n - ceil(t n) + 1 bigrams.
+    Prefix filtering keeps the posting join small: members are ordered from rare
+    to frequent, and a pair that reaches the threshold shares one of each side's
+    first n - ceil(t n) + 1 members. Rows with equal sets should be one row.
     """
-    bigrams = F.when(F.size(list_col) == 1, F.col(list_col)).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(list_col) - 1), lambda i: F.concat(F.element_at(list_col, i), F.lit(" "), F.element_at(list_col, i + 1))))
-    )
-    reps = items.where(F.size(list_col) > 0).groupBy(bigrams.alias("grams")).agg(F.min(id_col).alias("id"))
-    reps = reps.withColumn("size", F.size("grams"))
+    reps = sets.select(F.col(id_col).alias("id"), F.col(set_col).alias("grams"), F.size(set_col).alias("size"))
     posted = reps.select("id", "size", F.explode("grams").alias("gram"))
     counts = posted.groupBy("gram").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "gram")
