@@ -45,7 +45,7 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if data.strip():
+        if data.strip() or "\n" not in data:
             self.add("#text", {}, data)
 
 
