@@ -10,7 +10,8 @@ mask is a list of spans of the formatted text.
 Defined cases: null roles and texts are empty; a record whose fingerprint no
 mapping has, and one that is not JSON, has null turns and null output; a record
 without turns is the empty text; repeated records are formatted each for itself;
-an empty table gives an empty result; other columns pass through.
+an empty table gives an empty result; other columns pass through, but for those
+with the names of new columns, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """A record layout: its field paths as fingerprinted, and the SQL that takes turns from variant ``v``."""
+    """A record layout: its field paths as fingerprinted, and the SQL that takes turns from ``__variant``."""
 
     name: str
     paths: str
@@ -38,7 +39,7 @@ class Layout:
 def _messages(name: str, field: str, role: str, text: str) -> list[Layout]:
     roles = "CASE m.{0} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' ELSE m.{0} END".format(role)
     first, second = sorted((role, text))
-    sql = f"transform(try_variant_get(v, '$.{field}', 'array<struct<{role}:string,{text}:string>>'), m -> struct({roles} AS role, m.{text} AS text))"
+    sql = f"transform(try_variant_get(__variant, '$.{field}', 'array<struct<{role}:string,{text}:string>>'), m -> struct({roles} AS role, m.{text} AS text))"
     return [
         Layout(name, f"OBJECT<{field}: ARRAY<OBJECT<{first}, {second}>>>", sql),
         Layout(f"{name}_empty", f"OBJECT<{field}: ARRAY<>>", f"CAST(array() AS {TURNS})"),
@@ -47,7 +48,7 @@ def _messages(name: str, field: str, role: str, text: str) -> list[Layout]:
 
 def _pair(name: str, question: str, answer: str) -> Layout:
     first, second = sorted((question, answer))
-    get = "try_variant_get(v, '$.{}', 'string')".format
+    get = "try_variant_get(__variant, '$.{}', 'string')".format
     return Layout(name, f"OBJECT<{first}, {second}>", f"array(struct('user' AS role, {get(question)} AS text), struct('assistant' AS role, {get(answer)} AS text))")
 
 
@@ -62,8 +63,8 @@ LAYOUTS = (
     Layout(
         "instruction_input_output",
         "OBJECT<input, instruction, output>",
-        "array(struct('user' AS role, concat_ws('\\n\\n', try_variant_get(v, '$.instruction', 'string'), nullif(try_variant_get(v, '$.input', 'string'), '')) AS text),"
-        " struct('assistant' AS role, try_variant_get(v, '$.output', 'string') AS text))",
+        "array(struct('user' AS role, concat_ws('\\n\\n', try_variant_get(__variant, '$.instruction', 'string'), nullif(try_variant_get(__variant, '$.input', 'string'), '')) AS text),"
+        " struct('assistant' AS role, try_variant_get(__variant, '$.output', 'string') AS text))",
     ),
 )
 
@@ -87,7 +88,7 @@ def canonical_turns(records: DataFrame, record_col: str, layouts: tuple[Layout,
     for layout in layouts:
         turns = F.when(F.col("layout_fingerprint") == fingerprint(F.lit(layout.paths)), F.expr(layout.turns)).otherwise(turns)
     full = F.transform("turns", lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return found.withColumn("v", variant).withColumn("turns", turns).drop("v").withColumn("turns", full)
+    return found.withColumn("__variant", variant).withColumn("turns", turns).drop("__variant").withColumn("turns", full)
 
 
 def escape(text: Column) -> Column:
@@ -119,10 +120,10 @@ def format_turns(chats: DataFrame, turns_col: str = "turns", loss_role: str = "a
         return F.struct(close.cast("int").alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
     return (
-        chats.withColumn("_pieces", pieces)
-        .withColumn("formatted", F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"])), ""))
-        .withColumn("loss_spans", F.aggregate("_pieces", start, step, lambda acc: acc["spans"]))
-        .drop("_pieces")
+        chats.withColumn("__pieces", pieces)
+        .withColumn("formatted", F.array_join(F.transform("__pieces", lambda p: F.concat(p["head"], p["body"])), ""))
+        .withColumn("loss_spans", F.aggregate("__pieces", start, step, lambda acc: acc["spans"]))
+        .drop("__pieces")
     )
 
 

@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         .orderBy(F.xxhash64("_label_id"), "_label_id", "_label")
         .limit(max_rows)
     )
-    stats = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_label_id")).select("_label", text_statistics(F.col(text_col)).alias("x"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    stats = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("_label", text_statistics("_text").alias("x"))
 
     def moments(batches):
         sums = {c: np.zeros(1 + d + d * d) for c in (0, 1)}

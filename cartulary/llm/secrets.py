@@ -9,8 +9,8 @@ mandatory trigram scans every document. Nothing is shuffled, memory follows the
 shard size, and a lost task is simply run again.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned
-each for itself; an empty table gives an empty result; other columns, whatever
-their names, pass through untouched.
+each for itself; an empty table gives an empty result; other columns pass
+through untouched, but for one with the name of the spans column.
 """
 
 from __future__ import annotations

@@ -26,12 +26,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group keep the document with the smallest id; one without an id only if none has one."""
     found = simhash.near_duplicates(docs)
-    kept = found.where("id = component_id").select(F.col("id").alias("_kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("class").alias("_class")).distinct()
-    others = docs.where("doc_id is null").withColumn("_own_fp", simhash.fingerprint(F.col("text")))
-    others = others.join(nameless, F.col("_own_fp") == F.col("_fp")).dropDuplicates(["_class"]).select(docs.columns)
-    return named.unionByName(others)
+    kept = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    nameless = found.where("component_id is null").select("fp", "class").distinct()
+    others = docs.where("doc_id is null").select(F.struct("*").alias("row"), simhash.fingerprint(F.col("text")).alias("fp"))
+    return named.unionByName(others.join(nameless, "fp").dropDuplicates(["class"]).select("row.*"))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,20 @@ def test_pipeline_against_brute_force(spark):
     assert set(packed.doc_id.dropna()) == set(clean.doc_id.dropna())
 
 
+def test_stages_with_clashing_names(spark):
+    names = ["_label_id", "_label", "_text", "_id", "id", "fp", "class", "component_id", "row", "spans", "ids", "key", "score"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for n in names:
+        docs = docs.withColumn(n, F.lit("clash"))
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("a text of no id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.where(" or ".join(f"{n} <> 'clash'" for n in names)).count() == 0
+        docs = out
+    assert corpus_pipeline.pack(spark, docs, SF).count() > 0
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
