@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Labelled rows that are learned from at most; beyond it, those with the smallest hash of the id.
 MAX_FIT_ROWS = 100_000
 #: Weight of the pooled covariance, and of its diagonal, in each class covariance.
@@ -109,6 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     documents; class sums and products are added up by Spark, and only
     2 x (d + d x d) numbers come to the driver.
     """
+    small_batches(docs.sparkSession)
     d = len(FEATURES)
     chosen = (
         labels.where(F.col(label).isin(0, 1) & ~held_out(id_col))

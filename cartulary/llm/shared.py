@@ -1,6 +1,16 @@
 """Helpers that several training-data operators share."""
 
+from pyspark.sql import SparkSession
+
 from ..operators.graph import connected_components
 from ..plans.scratch import materialize, scratch_dir
 
-__all__ = ["connected_components", "materialize", "scratch_dir"]
+__all__ = ["ARROW_BATCH_BYTES", "connected_components", "materialize", "scratch_dir", "small_batches"]
+
+#: Bytes of an Arrow batch in which rows go to Python workers.
+ARROW_BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python workers a few megabytes at a time: texts are long, and a worker should hold few."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))

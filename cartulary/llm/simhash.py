@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from .shared import connected_components, materialize, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -105,6 +105,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp, component_id)``, a row for each row of ``docs``; component_id is the smallest id reachable."""
+    small_batches(docs.sparkSession)
     prints = materialize(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
     fps = prints.groupBy("fp").agg(F.min("id").alias("least"))
     active = materialize(possible(fps.select("fp")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cartulary.llm import packing, quality, secrets, simhash
 from cartulary.llm.queries import table, tokenizer_path
-from cartulary.llm.shared import materialize
+from cartulary.llm.shared import materialize, small_batches
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +35,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a mark that names its kind; n_chars follows the new text."""
+    small_batches(spark)
     clean = docs.withColumn("text", secrets.redacted_text(F.col("text")))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
