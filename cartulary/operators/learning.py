@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, total
+
 #: Classes that prototypes may have, at most: they travel with the plan.
 MAX_CLASSES = 1000
 
@@ -53,16 +55,16 @@ def classify(df: DataFrame, protos: list[tuple], vec: str) -> DataFrame:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    exps = let(v, lambda x: let(F.array_max(x), lambda top: F.transform(x, lambda y: F.exp(y - top))))
+    return let(exps, lambda e: let(total(e), lambda n: F.transform(e, lambda x: x / n)))
+
+
+def variance(v: Column) -> Column:
+    return let(v, lambda x: let(total(x) / F.size(x), lambda mean: total(F.transform(x, lambda y: (y - mean) * (y - mean))) / F.size(x)))
 
 
 def layer_norm(v: Column, eps: float = 1e-5) -> Column:
-    n = F.size(v)
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    return F.transform(v, lambda x: (x - mean) / F.sqrt(var + eps))
+    return let(v, lambda x: let(F.struct((total(x) / F.size(x)).alias("mean"), variance(x).alias("var")), lambda m: F.transform(x, lambda y: (y - m["mean"]) / F.sqrt(m["var"] + eps))))
 
 
 def attention(rows: DataFrame, group: str, pos: str, vec: str, window: int) -> DataFrame:

@@ -270,8 +270,7 @@ def ml_prototype_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ml_softmax_layernorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest softmax weight of each vector, and its deviation."""
     v = learning.doubles("embedding")
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    spread = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(v))
+    spread = F.sqrt(learning.variance(v))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(learning.softmax(v)), 6).alias("top"), F.round(spread, 6).alias("spread"))
 
 

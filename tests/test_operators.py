@@ -129,6 +129,8 @@ def test_learning(spark):
         assert math.isclose(r.margin, np.sort(d[r.id])[1] - d[r.id].min(), rel_tol=1e-9)
     z = (x - x.mean(axis=0)) / x.std(axis=0)
     assert np.allclose([r.v for r in learning.standardized(df, "v").orderBy("id").collect()], z)
+    norm = df.select(learning.layer_norm(F.col("v"), 0.0).alias("v")).first().v
+    assert np.allclose(norm, (x[0] - x[0].mean()) / x[0].std())
     out = learning.attention(df.withColumn("g", F.lit(1)), "g", "id", "v", 2).orderBy("id").collect()
     for i in (0, 1, 7):
         k = x[max(0, i - 2) : i + 1]
