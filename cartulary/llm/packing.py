@@ -25,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small_batches
 
 WINDOW = 4096
 END_ID = 2
@@ -41,60 +43,127 @@ PARTITION_IDS = 1 << 26
 #: Terms of a seed that are looked up.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-#: Distinct chunks whose ids a worker remembers.
-CACHE_CHUNKS = 400_000
+#: Distinct words, and chunks of other texts, whose ids a worker remembers.
+CACHE_WORDS, CACHE_CHUNKS = 600_000, 100_000
+#: Characters that are tokenised in one step.
+STEP_CHARS = 6 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Characters that str.split() takes for white space, and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Texts that Arrow does not split: beyond Latin characters, case folding or normal forms may join or split what a
+#: pattern sees; an apostrophe may begin a contraction; special tokens hold "<|".
+_NOT_PLAIN = "[^\\t-\\r -&(-~\u00a0-\u00ff]|<[|]"
+#: What the tokenizer sets apart in lower-cased text of the other characters: marks in runs, digits one by one. Fixed values.
+_APART = "([^a-zªµºß-öø-ÿ0-9²³¹¼½¾\\s\u00a0]+|[0-9²³¹¼½¾])"
+WORD_END = "</w>"
 
 
-class ChunkTokenizer:
-    """Ids of a text by its white-space separated chunks, whose ids do not depend on their neighbours."""
+class WordTokenizer:
+    """Ids of a text by its words, whose ids do not depend on their neighbours.
+
+    Texts in Latin characters are split as the tokenizer splits them. Others,
+    those with apostrophes and those that hold something like a special token
+    are split at white space only; those with control characters that count as
+    white space here and not there are given to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.strange: dict[str, bytes] = {}
 
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint16).tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2")
 
-    def learn(self, chunks: set[str]) -> None:
-        fresh = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(fresh) > CACHE_CHUNKS:
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; many unknown ones in one call, in which each word's last id says where the next begins."""
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
-            fresh = list(chunks)
+        found = list(map(self.known.get, words))
+        fresh = [w for w, x in zip(words, found) if x is None]
+        if not fresh:
+            return found
         for a in range(0, len(fresh), 4096):
             part = fresh[a : a + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[chunk] = np.array(e.ids, dtype=np.uint16).tobytes()
+            ids = self.ids(" ".join(part))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and "" not in part:
+                raw, at = ids.tobytes(), 0
+                for word, cut in zip(part, (2 * cuts).tolist()):
+                    self.known[word] = raw[at:cut]
+                    at = cut
+            else:
+                for word in part:
+                    self.known[word] = self.ids(word).tobytes()
+        return [self.known[w] if x is None else x for w, x in zip(words, found)]
 
-    def encode(self, text: str | None) -> bytes:
-        if not isinstance(text, str) or not text:
-            return b""
+    def other(self, text: str) -> bytes:
+        """Ids of a text beyond Latin characters, or with something like a special token."""
         if _ODD_SPACE.search(text):
-            return self.direct(text)
+            return self.ids(text).tobytes()
         chunks = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self.learn(set(chunks))
-            return b"".join(map(self.known.__getitem__, chunks))
+        fresh = list({c for c in chunks if c not in self.strange})
+        if len(self.strange) + len(fresh) > CACHE_CHUNKS:
+            self.strange.clear()
+            fresh = list(set(chunks))
+        for chunk, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
+            self.strange[chunk] = np.array(e.ids, dtype="<u2").tobytes()
+        return b"".join(map(self.strange.__getitem__, chunks))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text of a string array. Words are split and told apart in
+        Arrow; only distinct ones are looked up, and ids are laid out by index."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.invert(pc.match_substring_regex(texts, _NOT_PLAIN))
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts.filter(plain)), _APART, r" \1 ")
+        lists = pc.utf8_split_whitespace(apart)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = self.of_words(words)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        pool = np.frombuffer(b"".join(found), dtype="<u2")
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        length = sizes[codes]
+        ends = np.cumsum(length)
+        shift = (np.cumsum(sizes) - sizes)[codes] - (ends - length)
+        raw = memoryview(pool[np.repeat(shift, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
+        bounds = 2 * np.concatenate(([0], ends))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        done = iter([bytes(raw[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+        return [next(done) if ok else self.other(t.as_py()) for ok, t in zip(plain.to_pylist(), texts)]
+
+
+def _steps(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a few million characters, at least one text each."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(texts), 0)))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_CHARS)))
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)``: ids as little-endian 16-bit numbers, the end id last."""
+    small_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u2").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = ChunkTokenizer(tokenizer_path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = WordTokenizer(tokenizer_path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [tokenizer.encode(t) + end for t in batch["text"]]})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids binary")
+            at = 0
+            for texts in _steps(batch.column("text")):
+                ids = pa.array([x + end for x in tokenizer.encode(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), ids], ["doc_id", "ids"])
+                at += len(texts)
+            pa.default_memory_pool().release_unused()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
