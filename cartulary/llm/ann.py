@@ -41,6 +41,8 @@ PROBABILITY = 0.95
 #: and hold so many times k rows.
 ENOUGH = 8
 BLOCK_ROWS = 1024
+#: Results that a task holds before it merges them by query.
+MERGE_ROWS = 400_000
 
 
 def graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -207,10 +209,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     questions = pack_blocks(asked, keys, "row", BLOCK_ROWS // 4).withColumnRenamed("payload", "asked").withColumnRenamed("block", "asked_block")
     met = questions.join(pack_blocks(placed, keys, "id", BLOCK_ROWS), keys).select("asked", "payload")
 
+    def merged(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        ordered = pd.concat(parts).sort_values(["row", "score", "vec_id"], ascending=[True, False, True])
+        return ordered.groupby("row", sort=False).head(k)
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The k best of a query among all blocks that this task has seen, not among each."""
+        kept: list[pd.DataFrame] = []
+        size = 0
         for batch in batches:
             for q, c in zip(unpack(batch["asked"]), unpack(batch["payload"])):
-                yield pd.DataFrame(best(q, c, k), columns=["row", "query_id", "vec_id", "score"])
+                kept.append(pd.DataFrame(best(q, c, k), columns=["row", "query_id", "vec_id", "score"]))
+                size += len(kept[-1])
+                if size >= MERGE_ROWS:
+                    kept = [merged(kept)]
+                    size = len(kept[0])
+                    if size > MERGE_ROWS // 2:  # so many queries meet here that holding them all would not be bounded
+                        yield kept.pop()
+                        size = 0
+        if kept:
+            yield merged(kept)
 
     found = met.mapInPandas(search, "row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
