@@ -76,6 +76,7 @@ class WordTokenizer:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.strange: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
@@ -83,12 +84,16 @@ class WordTokenizer:
 
     def of_words(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words; many unknown ones in one call, in which each word's last id says where the next begins."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if len(self.known) > CACHE_WORDS // 2:  # the older half goes, but for words that are met again
+            self.older, self.known = self.known, {}
         found = list(map(self.known.get, words))
-        fresh = [w for w, x in zip(words, found) if x is None]
-        if not fresh:
-            return found
+        fresh = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self.older.get(words[i])
+            if found[i] is None:
+                fresh.append(words[i])
+            else:
+                self.known[words[i]] = found[i]
         for a in range(0, len(fresh), 4096):
             part = fresh[a : a + 4096]
             ids = self.ids(" ".join(part))
@@ -166,16 +171,29 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and their counts; 16-bit numbers are sorted by radix."""
+    ordered = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return ordered[first], np.diff(first, append=len(ids))
+
+
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     """df of each vocabulary id, number of documents, mean length; partial counts are summed by Spark."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = np.zeros(VOCABULARY, dtype=np.int64)
+        seen = np.zeros(VOCABULARY, dtype=bool)
         docs = size = 0
         for batch in batches:
             for raw in batch["ids"]:
                 ids = np.frombuffer(raw, dtype="<u2")
-                df[np.unique(ids)] += 1
+                if len(ids) > 1024:  # marks are cheaper than sorting
+                    seen[ids] = True
+                    df += seen
+                    seen[ids] = False
+                else:
+                    df[distinct(ids)[0]] += 1
                 docs += 1
                 size += len(ids)
         at = np.flatnonzero(df)
@@ -197,7 +215,7 @@ class Shard:
     """The BM25 inverted index of some documents, of which used ones drop out."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, counts = zip(*(np.unique(x, return_counts=True) for x in docs))
+        terms, counts = zip(*map(distinct, docs))
         sizes = np.fromiter(map(len, terms), dtype=np.int64, count=len(docs))
         doc = np.repeat(np.arange(len(docs)), sizes)
         term, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
