@@ -23,19 +23,41 @@ result; other columns pass through.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words whose ids a worker remembers, and pairs of pieces whose compatibility it remembers.
-CACHE_WORDS, CACHE_PAIRS = 1_000_000, 1 << 20
+CACHE_WORDS, CACHE_PAIRS = 400_000, 1 << 19
+#: Characters that are encoded in one step.
+STEP_CHARS = 4 << 20
+#: Stands between words while Arrow splits them; texts that hold it are split in Python.
+_SEP = "\ue000"
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
+#: What stands before a word's first piece, and for a character that no piece has.
+START, UNKNOWN = 65535, 65536
+#: Characters beyond which a word keeps no ids for each of its prefixes.
+LONG_WORD = 128
+
+
+def shared_prefixes(words: list[str]) -> list[int]:
+    """How many characters each of some sorted words shares with the one before it."""
+    if not words:
+        return []
+    width = max(map(len, words))
+    codes = np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
+    same = np.logical_and.accumulate((codes[1:] == codes[:-1]) & (codes[1:] != 0), axis=1).sum(axis=1)
+    return [0, *same.tolist()]
+
+
 class Model:
     """The pieces of a model file, with encoding and decoding of words."""
 
@@ -48,13 +70,20 @@ class Model:
         special = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        sizes: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                sizes.setdefault(p[-2:], set()).add(len(p))
+        #: By the last two characters, how long pieces that end so are, the longest first.
+        self.sizes = {end: sorted(n, reverse=True) for end, n in sizes.items()}
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.raw = [b"" if i in special else p.encode() for i, p in enumerate(self.pieces)]
+        raw = [b"" if i in special else p.encode() for i, p in enumerate(self.pieces)]
         for b, i in enumerate(self.byte):
-            self.raw[i] = bytes([b])
+            raw[i] = bytes([b])
+        self.raw = pa.array(raw, pa.binary())
         self.known: dict[str, bytes] = {}
-        self.pair = lru_cache(CACHE_PAIRS)(self._pair)
+        self.pairs: dict[int, bool] = {}
+        self.four = [array("i", [i]).tobytes() for i in range(size)]
 
     def merge(self, text: str) -> list[str]:
         """The pieces of ``text`` by merging the best-scored pair, the leftmost of equals, until none is left."""
@@ -69,61 +98,114 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _pair(self, a: str, b: str) -> bool:
-        """Whether ``a`` followed by ``b`` stays as it is; with no ``a``, whether ``b`` is one piece."""
-        return self.merge(a + b) == ([a, b] if a else [b])
-
-    def ending(self, text: str, end: int, last: list[int]) -> int:
-        """Length of the piece that ends ``text[:end]``; ``last`` has those of all shorter prefixes."""
-        ids, pair = self.ids, self.pair
-        for before in range(max(0, end - self.longest), end):
-            piece = text[before:end]
-            if (piece in ids or end - before == 1) and pair(text[before - last[before] : before], piece):
-                return end - before
-        raise AssertionError("every prefix has an encoding")
+    def compatible(self, before: int, piece: int) -> bool:
+        """Whether two pieces side by side stay as they are; after a start or an unknown character, whether one does."""
+        b = self.pieces[piece]
+        if before >= START:
+            return self.merge(b) == [b]
+        a = self.pieces[before]
+        return self.merge(a + b) == [a, b]
+
+    def ending(self, text: str, end: int, last: list[int]) -> tuple[int, int]:
+        """Length and id of the piece that ends ``text[:end]``; ``last`` has the ids that end all shorter prefixes.
+
+        The longest candidate that fits is taken; a character alone ends what no longer piece does.
+        """
+        ids, pairs = self.ids, self.pairs
+        for size in self.sizes.get(text[max(0, end - 2) : end], ()):
+            if size > end:
+                continue
+            piece = ids.get(text[end - size : end])
+            if piece is None:
+                continue
+            key = last[end - size] << 16 | piece
+            fits = pairs.get(key)
+            if fits is None:
+                if len(pairs) >= CACHE_PAIRS:
+                    pairs.clear()
+                fits = pairs[key] = self.compatible(last[end - size], piece)
+            if fits:
+                return size, piece
+        return 1, ids.get(text[end - 1], UNKNOWN)
+
+    def raw_ids(self, piece: int, char: str) -> bytes:
+        return self.four[piece] if piece < START else b"".join(self.four[self.byte[x]] for x in char.encode("utf-8", "replace"))
 
     def words(self, fresh: list[str]) -> None:
-        """Encode distinct words: sorted, so that each shares the stack of its common prefix with the one before."""
-        last, before = [0], ""
-        for word in sorted(fresh):
-            if word.startswith(MARK * 2):
-                self.known[word] = self.to_bytes(self.merge(word))
-                continue
-            same = 0
-            for a, b in zip(word, before):
-                if a != b:
-                    break
-                same += 1
-            del last[same + 1 :]
+        """Encode distinct words. Sorted, they are the trie's paths in depth-first
+        order: the states of the prefix that a word shares with the one before
+        stay on the stack, and only the rest is worked out."""
+        short = sorted(w for w in fresh if len(w) <= LONG_WORD and not w.startswith(MARK * 2))
+        last, ids = [START], [b""]
+        for word, same in zip(short, shared_prefixes(short)):
+            del last[same + 1 :], ids[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                last.append(self.ending(word, end, last))
-            parts, at = [], len(word)
-            while at:
-                parts.append(word[at - last[at] : at])
-                at -= last[at]
-            self.known[word] = self.to_bytes(parts[::-1])
-            before = word
-
-    def to_bytes(self, parts: list[str]) -> bytes:
-        out: list[int] = []
-        for p in parts:
-            i = self.ids.get(p)
-            out += [i] if i is not None else [self.byte[b] for b in p.encode("utf-8", "replace")]
-        return np.array(out, dtype="<i4").tobytes()
-
-    def encode_batch(self, texts) -> list[np.ndarray]:
-        split = [_WORD.findall(MARK + t.replace(" ", MARK)) if isinstance(t, str) and t else [] for t in texts]
-        need = set().union(*split) if split else set()
-        fresh = [w for w in need if w not in self.known]
+                size, piece = self.ending(word, end, last)
+                last.append(piece)
+                ids.append(ids[end - size] + self.raw_ids(piece, word[end - 1]))
+            self.known[word] = ids[-1]
+        for word in fresh:
+            if word.startswith(MARK * 2):
+                self.known[word] = b"".join(self.raw_ids(self.ids.get(p, UNKNOWN), p) for p in self.merge(word))
+            elif len(word) > LONG_WORD:
+                last, sizes = [START], [0]
+                for end in range(1, len(word) + 1):
+                    size, piece = self.ending(word, end, last)
+                    last.append(piece)
+                    sizes.append(size)
+                parts, at = [], len(word)
+                while at:
+                    parts.append(self.raw_ids(last[at], word[at - 1]))
+                    at -= sizes[at]
+                self.known[word] = b"".join(reversed(parts))
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        fresh = [w for w in words if w not in self.known]
         if len(self.known) + len(fresh) > CACHE_WORDS:
             self.known.clear()
-            fresh = list(need)
+            fresh = words
         self.words(fresh)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<i4") for words in split]
+        return list(map(self.known.__getitem__, words))
+
+    def encode_step(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text. Marked words are split and told apart in Arrow; only
+        distinct ones are encoded, and ids are laid out by index."""
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring(texts, _SEP)).as_py():
+            split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts.to_pylist()]
+            lists = pa.array(split, pa.list_(pa.string()))
+        else:
+            marked = pc.replace_substring(pc.binary_join_element_wise(MARK, texts, ""), " ", MARK)
+            apart = pc.replace_substring_regex(marked, f"({MARK}+|\n)", rf"{_SEP}\1")
+            apart = pc.replace_substring(apart, "\n", f"\n{_SEP}")
+            lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), "", apart), _SEP)
+        coded = lists.flatten().dictionary_encode()
+        found = self.of_words(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        pool = np.frombuffer(b"".join(found), dtype=np.int32)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        length = sizes[codes]
+        ends = np.cumsum(length)
+        shift = (np.cumsum(sizes) - sizes)[codes] - (ends - length)
+        ids = pool[np.repeat(shift, length) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+
+    def encode_batch(self, texts) -> list[list[int]]:
+        return self.encode_step(pa.array(list(texts), pa.string())).to_pylist()
+
+    def decode_step(self, ids: pa.ListArray) -> pa.Array:
+        """The text of each id list: pieces and bytes joined in Arrow, markers as spaces, the first one left out."""
+        parts = pa.ListArray.from_arrays(pa.array(np.asarray(ids.offsets) - ids.offsets[0].as_py(), pa.int32()), pc.take(self.raw, ids.flatten()))
+        joined = pc.binary_join(parts, b"")
+        try:
+            text = joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            text = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+        return pc.replace_substring_regex(pc.replace_substring(text, MARK, " "), "^ ", "")
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        return raw.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
+        return self.decode_step(pa.array([list(ids)], pa.list_(pa.int32())))[0].as_py()
 
 
 @lru_cache(4)
@@ -131,25 +213,23 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def _parts(texts: pd.Series, size: int = 4 << 20):
-    """Runs of texts of a few million characters, so that split words of a batch stay bounded."""
-    block, n = [], 0
-    for t in texts:
-        block.append(t)
-        n += len(t) if isinstance(t, str) else 0
-        if n >= size:
-            yield block
-            block, n = [], 0
-    if block:
-        yield block
+def _steps(sizes: np.ndarray, most: int):
+    """Slices (start, length) of rows whose sizes add up to about ``most``, one row at least."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
+        yield at, stop - at
+        at = stop
 
 
 def encode(text: Column | str, path: str) -> Column:
     """Ids of each text, ``array<int>``."""
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([x for part in _parts(texts) for x in model(path).encode_batch(part)], dtype=object)
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        sizes = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
+        parts = [model(path).encode_step(texts.slice(a, n)) for a, n in _steps(sizes, STEP_CHARS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return ids(text)
 
@@ -157,8 +237,15 @@ def encode(text: Column | str, path: str) -> Column:
 def decode(ids: Column | str, path: str) -> Column:
     """The text of each id list; null for null."""
 
-    @F.pandas_udf("string")
-    def texts(lists: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else model(path).decode(x.tolist()) for x in lists], dtype=object)
+    @F.arrow_udf("string")
+    def texts(lists: pa.Array) -> pa.Array:
+        lists = lists.cast(pa.list_(pa.int32()))
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        parts = []
+        for a, n in _steps(sizes, STEP_CHARS // 2):
+            part = lists.slice(a, n)
+            known = pa.array(np.asarray(part.is_valid()))
+            parts.append(pc.if_else(known, model(path).decode_step(pa.array(part.fill_null([]), pa.list_(pa.int32())) if part.null_count else part), pa.scalar(None, pa.string())))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return texts(ids)
