@@ -159,7 +159,8 @@ def r46_locale_alternates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.crossJoin(F.broadcast(total)).select("tail", "locales", (F.col("n") == F.col("total")).alias("everywhere"))  # total is one row
 
 
-@query()
+@query(rf"""WITH {PAGES_SQL}, b AS (SELECT page_id, query, host || CASE WHEN path LIKE '%/' THEN path || 'index.html' WHEN regexp_matches(path, '[.][a-z]+$') THEN path ELSE path || '.html' END AS base FROM u)
+  SELECT page_id, CASE WHEN query = '' THEN base ELSE base || '@' || printf('%08x', list_reduce(list_transform(string_split(query, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT)) END AS local_path FROM b""")
 def r47_local_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A local file path for each URL; a query becomes its FNV-1a hash."""
     u = page_urls(spark, sf_dir)
