@@ -6,9 +6,11 @@ documents and are bounded by the vocabulary. Documents are dealt out by a
 MinHash over their rarer ids, with the document id behind it, so that related
 texts meet in a partition and no key is too large to be divided. A partition is
 read as a run of shards of bounded size; each has its own inverted index. The
-first unused document is the seed, BM25 over its weightiest terms ranks the
-unused rest, and these fill the window in that order; a document that does not
-fit is cut, and its rest seeds the next window. A window left open at the end of
+first unused document is the seed, BM25 over all its terms ranks the unused
+rest of the shard, and these fill the window in that order, for as long as it is
+open and any of them shares a term; a document that does not fit is cut, and its
+rest seeds the next window. A window that a document closes without a rest is
+followed by one that the best unused neighbour seeds. A window left open at the end of
 a shard goes on in the next one, and what is left at the end of a partition is
 cut into powers of two, which need no padding.
 
@@ -40,8 +42,6 @@ VOCABULARY = 1 << 16
 SHARD_IDS = 1 << 21
 #: Ids that one partition holds, about.
 PARTITION_IDS = 1 << 26
-#: Terms of a seed that are looked up.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Distinct words, and chunks of other texts, whose ids a worker remembers.
 CACHE_WORDS, CACHE_CHUNKS = 600_000, 100_000
@@ -225,20 +225,19 @@ class Shard:
         self.doc, self.weight = doc[order], weight[order].astype(np.float32)
         self.starts = np.zeros(VOCABULARY + 1, dtype=np.int64)
         np.cumsum(np.bincount(term, minlength=VOCABULARY), out=self.starts[1:])
-        cut = np.cumsum(sizes)[:-1]
-        self.best = [t[np.argsort(-w, kind="stable")[:QUERY_TERMS]] for t, w in zip(terms, np.split(weight, cut))]
+        self.best = terms
         self.free = np.ones(len(docs), dtype=bool)
 
     def neighbours(self, seed: int, most: int = 64) -> np.ndarray:
-        """Unused documents that share a term with ``seed``, best first, ties to the earlier; ``most`` only sets how many are ranked at once."""
+        """The best ``most`` unused documents that share a term with ``seed``, best first, ties to the earlier; a caller with room for more asks again."""
         at = [slice(self.starts[t], self.starts[t + 1]) for t in self.best[seed].tolist()]
         score = np.bincount(np.concatenate([self.doc[s] for s in at]), np.concatenate([self.weight[s] for s in at]), minlength=len(self.free))
         score[~self.free] = 0
         hits = np.flatnonzero(score)
         if len(hits) > most:
-            hits = hits[np.argpartition(-score[hits], most - 1)[:most]]
-            hits.sort()
-        return hits[np.argsort(-score[hits], kind="stable")]
+            least = np.partition(score[hits], len(hits) - most)[len(hits) - most]
+            hits = hits[score[hits] >= least]
+        return hits[np.argsort(-score[hits], kind="stable")][:most]
 
 
 class Windows:
@@ -291,37 +290,32 @@ class Windows:
 
 def pack_shard(docs: list[tuple], windows: Windows, idf: np.ndarray, mean: float) -> None:
     shard = Shard([ids for _, ids in docs], idf, mean)
-    seed = 0
-    while True:
-        while seed < len(docs) and not shard.free[seed]:
-            seed += 1
-        if seed == len(docs):
-            return
-        doc: int | None = seed
-        while doc is not None:  # a document, then its neighbours; one that is cut seeds the next window
-            shard.free[doc] = False
-            doc_id, ids = docs[doc]
-            start = 0
-            while start < len(ids):
-                start = windows.put(doc_id, ids, start)
-            near = shard.neighbours(doc)
-            cut = None
+
+    def place(doc: int) -> bool:
+        """Put a whole document; whether it was cut."""
+        shard.free[doc] = False
+        doc_id, ids = docs[doc]
+        start = first = windows.put(doc_id, ids, 0)
+        while start < len(ids):
+            start = windows.put(doc_id, ids, start)
+        return first < len(ids)
+
+    for seed in range(len(docs)):
+        if not shard.free[seed]:
+            continue
+        place(seed)
+        doc = seed
+        while len(near := shard.neighbours(doc)):
+            if not windows.used:  # the best neighbour seeds the next window
+                doc = int(near[0])
+                place(doc)
+                continue
             for other in near.tolist():
-                if not windows.used:
+                if place(other):  # its rest seeds the next window
+                    doc = other
                     break
-                shard.free[other] = False
-                doc_id, ids = docs[other]
-                start = windows.put(doc_id, ids, 0)
-                if start < len(ids):
-                    cut = other
-                    while start < len(ids):
-                        start = windows.put(doc_id, ids, start)
+                if not windows.used:
                     break
-            if cut is None:
-                doc = int(near[0]) if len(near) and shard.free[near[0]] else None
-            else:
-                again = shard.neighbours(cut, 1)
-                doc = int(again[0]) if len(again) else None
 
 
 def pack(tokens: DataFrame, window: int = WINDOW, shard_ids: int = SHARD_IDS) -> DataFrame:

@@ -230,6 +230,40 @@ def test_neighbours_are_bm25_best():
     assert all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:]))
 
 
+def packed(docs, window):
+    """The windows that pack_shard makes of lists of ids, as lists of (document, length)."""
+    docs = [np.array(d, dtype="<u2") for d in docs]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=packing.VOCABULARY)
+    idf, mean = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean(list(map(len, docs))))
+    windows = packing.Windows(0, window)
+    packing.pack_shard(list(enumerate(docs)), windows, idf, mean)
+    windows.finish()
+    out = windows.take()
+    return [list(zip(p.doc_id.tolist(), p.length.tolist())) for _, p in out.groupby("sequence_id")]
+
+
+def test_packing_asks_again_while_the_window_is_open():
+    copies, others = [[5, 6, 7]] * 200, [[i, i + 1, i + 2] for i in range(1000, 1600, 3)]
+    docs = [d for pair in zip(copies, others) for d in pair]  # the copies have even numbers
+    seen = [doc for window in packed(docs, 512) for doc, _ in window]
+    assert [d for d in seen[:200] if d % 2] == []
+
+
+def test_packing_goes_on_from_the_cut_document():
+    # 0 is the seed, 1 is cut; 2, 4 and 5 share a term with 1, and 3 with 2 alone
+    docs = [list(range(10, 22)), [10, 11, 30, 31, 32, 33, 34, 35], [30, 31, 40, 41, 42, 43], [40, 41, 42, 43], [32, 9], [33, 8]]
+    first, second, *_ = packed(docs, 16)
+    assert first == [(0, 12), (1, 4)] and second[0] == (1, 4)
+    assert {doc for doc, _ in second[1:4]} == {2, 4, 5} and second[4][0] == 3
+
+
+def test_packing_scores_all_terms_of_the_seed():
+    rare = [list(range(100, 130)), [100, 101]]  # 30 rare terms and a common one, by which alone 2 is near
+    docs = [[*rare[0], 7], [200, 201], [7, 300]] + [[7, 400 + i] for i in range(3)]
+    (window,) = packed([d for d in docs], 64)[:1]
+    assert [doc for doc, _ in window][:2] == [0, 2]
+
+
 def test_packing_of_nothing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert packing.pack_documents(frame(spark, []), path).count() == 0
