@@ -125,6 +125,13 @@ def r25_nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x").cast("double")), 6).alias("total"))
 
 
+@query("WITH f AS (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, count(*) AS n, round(sum(x), 6) AS total FROM f GROUP BY label")
+def r25_nested_flatten_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples nested in vectors, flattened and summed by label."""
+    samples = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x"))
+    return samples.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x").cast("double")), 6).alias("total"))
+
+
 @query("""WITH c AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2), m AS (SELECT p_brand, arg_min(p_size, (-n, p_size)) AS body FROM c GROUP BY 1)
   SELECT c.p_brand, any_value(body) AS body, max(p_size) FILTER (p_size < body) AS smaller, min(p_size) FILTER (p_size > body) AS larger FROM c JOIN m ON c.p_brand = m.p_brand GROUP BY 1""")
 def r26_steps_around_mode(spark: SparkSession, sf_dir: str) -> DataFrame:

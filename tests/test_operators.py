@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions import numbers, urls
 from cartulary.operators import graph, greedy, learning, markup, relational, text
+from cartulary.plans import catalog, core_queries  # noqa: F401  (registers its queries)
 
 
 def one(spark, column):
@@ -72,6 +73,13 @@ def test_components_and_search(spark):
     assert {tuple(r) for r in graph.reachable(way, spark.createDataFrame([(0,)], "node int"), 3).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3)}
 
 
+def test_flatten_reaches_every_sample(spark, tmp_path):
+    vectors = [("a", [1.0, 2.0, 4.0]), ("a", [8.0]), ("b", []), ("b", [16.0, 32.0])]
+    spark.createDataFrame(vectors, "label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["r25_nested_flatten_all"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {("a", 4, 15.0), ("b", 2, 48.0)}
+
+
 def test_retrieval_by_hand(spark):
     docs = spark.createDataFrame([(1, "alpha beta alpha gamma words\n\nshort\n\nbeta beta beta beta beta"), (2, None), (3, "nothing of interest in this one")], "id int, t string")
     got = text.retrieve(text.paragraphs(docs, "id", "t"), "Alpha, beta!", 5).collect()
