@@ -227,6 +227,15 @@ def r50_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(edges, "a", "b")
 
 
+@query()
+def r50_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected components of customers and suppliers through all orders and their lines."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") + 1000000000).alias("b"))
+    edges = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), "b")
+    return graph.connected_components(edges, "a", "b")
+
+
 @query("""SELECT c.c_custkey, count(DISTINCT o_orderkey) AS orders, coalesce(count(l_linenumber), 0) AS lines, 10 * count(DISTINCT o_orderkey) + 3 * count(l_linenumber) + CASE WHEN any_value(c_acctbal) < 0 THEN 25 ELSE 0 END AS effort
   FROM customer c LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def r52_weighted_effort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,29 @@ def test_flatten_reaches_every_sample(spark, tmp_path):
     assert {tuple(r) for r in got} == {("a", 4, 15.0), ("b", 2, 48.0)}
 
 
+def test_components_over_all_orders(spark, tmp_path):
+    rng = random.Random(5)
+    orders = [(i, rng.randint(1, 60), rng.choice(["1-URGENT", "3-MEDIUM", "5-LOW"])) for i in range(70)]
+    lines = [(rng.randint(0, 69), rng.randint(1, 40), float(rng.randint(1, 50))) for _ in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parent = {}
+
+    def find(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    customer = {k: c for k, c, _ in orders}
+    for k, s, _ in lines:
+        a, b = find(customer[k]), find(1000000000 + s)
+        parent[max(a, b)] = min(a, b)
+    want = {(v, find(v)) for v in list(parent)}
+    assert len({root for _, root in want}) > 3
+    got = catalog.queries()["r50_components_all"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_retrieval_by_hand(spark):
     docs = spark.createDataFrame([(1, "alpha beta alpha gamma words\n\nshort\n\nbeta beta beta beta beta"), (2, None), (3, "nothing of interest in this one")], "id int, t string")
     got = text.retrieve(text.paragraphs(docs, "id", "t"), "Alpha, beta!", 5).collect()
