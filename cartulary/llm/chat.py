@@ -8,8 +8,9 @@ backslash, which reading takes away again, so that any text survives. The loss
 mask is a list of spans of the formatted text.
 
 Defined cases: null roles and texts are empty; a record whose fingerprint no
-mapping has, and one that is not JSON, has null turns and null output; a record
-without turns is the empty text; repeated records are formatted each for itself;
+mapping has, and one that is not JSON, has null turns and null output; one of
+``LARGE`` bytes or more that cannot be parsed is an error, for a limit of the
+parser cannot be told from bad JSON there; a record without turns is the empty text; repeated records are formatted each for itself;
 an empty table gives an empty result; other columns pass through, but for those
 with the names of new columns, which are replaced.
 """
@@ -25,6 +26,8 @@ BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of this and other common templates, without their first character: fixed values.
 CONTROL = r"\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|/?s>|/?INST\]|/?SYS>|\|[a-z_]+\|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: Bytes of a JSON text from which the limits of a variant (128 MB) or of its parser may be met.
+LARGE = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -87,6 +90,8 @@ def canonical_turns(records: DataFrame, record_col: str, layouts: tuple[Layout,
     variant = F.try_parse_json(F.col(record_col))
     for layout in layouts:
         turns = F.when(F.col("layout_fingerprint") == fingerprint(F.lit(layout.paths)), F.expr(layout.turns)).otherwise(turns)
+    lost = (F.octet_length(record_col) >= LARGE) & variant.isNull()
+    turns = F.when(lost, F.raise_error(F.concat(F.lit("a record cannot be parsed; its bytes: "), F.octet_length(record_col).cast("string")))).otherwise(turns)
     full = F.transform("turns", lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     return found.withColumn("__variant", variant).withColumn("turns", turns).drop("__variant").withColumn("turns", full)
 
@@ -150,3 +155,15 @@ def records_of_rows(rows: DataFrame, conv_col: str, turn_col: str, role_col: str
     row = F.struct(F.col(turn_col).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text"))
     turns = F.transform(F.array_sort(F.collect_list(row)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return rows.groupBy(F.col(conv_col).alias("conversation")).agg(F.to_json(F.struct(turns.alias("turns"))).alias("record"))
+
+
+def turns_of_rows(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """``(conversation, turns)``: each row is a record of layout ``turns`` with one turn and is
+    parsed by itself, so that the limits of a variant bind a turn and not a conversation;
+    a conversation's turns are put together after that, by turn, ties by role and text."""
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    one = F.struct(F.array(F.struct(empty(role_col).alias("role"), empty(text_col).alias("text"))).alias("turns"))
+    records = rows.select(F.col(conv_col).alias("conversation"), F.col(turn_col).alias("turn"), F.to_json(one).alias("record"))
+    row = canonical_turns(records, "record").select("conversation", F.struct("turn", F.col("turns")[0]["role"].alias("role"), F.col("turns")[0]["text"].alias("text")).alias("row"))
+    turns = F.transform(F.array_sort(F.collect_list("row")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return row.groupBy("conversation").agg(turns.alias("turns"))

@@ -94,6 +94,22 @@ def test_rows_with_nulls(spark):
     assert out == {1: [("user", "a"), ("user", "a"), ("", "")], None: [("x\ny", "z")]}
 
 
+def test_long_conversation_keeps_its_turns(spark, tmp_path):
+    from cartulary.llm import queries
+
+    said = F.concat(F.col("id").cast("string"), F.lit(":"), F.repeat(F.lit("x"), 1 << 20))
+    rows = spark.range(140).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), said.alias("text"))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r.conv_id: (r.n_turns, r.loss_chars) for r in queries.op2_chat_format(spark, str(tmp_path)).select("conv_id", "n_turns", "loss_chars").collect()}
+    assert out[1] == (140, sum(len(f"{i}:") + (1 << 20) for i in range(140)))
+
+
+def test_record_beyond_the_parser_is_an_error(spark):
+    record = F.concat(F.lit('{"prompt": "'), F.repeat(F.lit("x"), 140 << 20), F.lit('", "completion": ""}'))
+    with pytest.raises(Exception, match="cannot be parsed"):
+        chat.canonical_turns(spark.range(1).select(record.alias("record")), "record").select(F.size("turns")).collect()
+
+
 # sharding
 
 
