@@ -2,7 +2,8 @@
 
 The given vocabulary is of the BPE kind: its scores are merge ranks, and the
 path of the best score sum, which plain Viterbi would find, is not what the
-library encodes. The forward pass therefore keeps, for each prefix of a word,
+library encodes: of the 108,533 distinct words in the first 1,000 documents of
+sf0.1, it cuts 60 % otherwise. The forward pass therefore keeps, for each prefix of a word,
 the one piece that can end it: piece ``t`` ends a prefix if the pair of the piece
 that ends the prefix before ``t`` and ``t`` itself survives the merges
 unchanged, and exactly one does. The result is the library's, id for id.
@@ -16,8 +17,10 @@ Characters outside the vocabulary are bytes, which no merge crosses. Words that
 begin with a run of markers tie in their scores and are merged step by step.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each
-for itself; texts of any length are encoded whole; an empty table gives an empty
-result; other columns pass through.
+for itself; texts of any length, runs of spaces and words of any length are
+encoded whole; of equal merges the leftmost goes first; an empty table gives an
+empty result; the functions are column expressions, so other columns, whatever
+their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +38,26 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words whose ids a worker remembers, and pairs of pieces whose compatibility it remembers.
-CACHE_WORDS, CACHE_PAIRS = 400_000, 1 << 19
+CACHE_WORDS, CACHE_PAIRS = 600_000, 1 << 19
 #: Characters that are encoded in one step.
 STEP_CHARS = 4 << 20
-#: Stands between words while Arrow splits them; texts that hold it are split in Python.
-_SEP = "\ue000"
+#: Texts that Arrow does not split.
+_ODD = f"^ |  | $|{MARK}"
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
 #: What stands before a word's first piece, and for a character that no piece has.
 START, UNKNOWN = 65535, 65536
-#: Characters beyond which a word keeps no ids for each of its prefixes.
-LONG_WORD = 128
+#: Characters of two words that are compared to find what they share; beyond them states are worked out anew.
+SHARED_CHARS = 128
 
 
 def shared_prefixes(words: list[str]) -> list[int]:
-    """How many characters each of some sorted words shares with the one before it."""
+    """How many of its first characters each of some sorted words shares with the one before it."""
     if not words:
         return []
-    width = max(map(len, words))
-    codes = np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
+    width = max(1, min(SHARED_CHARS, max(map(len, words))))
+    codes = np.array([w[:width] for w in words], dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
     same = np.logical_and.accumulate((codes[1:] == codes[:-1]) & (codes[1:] != 0), axis=1).sum(axis=1)
     return [0, *same.tolist()]
 
@@ -70,33 +74,66 @@ class Model:
         special = {i for i in range(size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        sizes: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 1:
-                sizes.setdefault(p[-2:], set()).add(len(p))
-        #: By the last two characters, how long pieces that end so are, the longest first.
-        self.sizes = {end: sorted(n, reverse=True) for end, n in sizes.items()}
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         raw = [b"" if i in special else p.encode() for i, p in enumerate(self.pieces)]
         for b, i in enumerate(self.byte):
             raw[i] = bytes([b])
         self.raw = pa.array(raw, pa.binary())
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.four = [array("i", [i]).tobytes() for i in range(size)]
+        self.link_suffixes()
+
+    def link_suffixes(self) -> None:
+        """For each beginning of a piece: the longest shorter one that ends it, and the pieces that end it, the longest first."""
+        starts = sorted({p[:n] for p in self.ids for n in range(1, len(p) + 1)}, key=len)
+        self.state = {"": 0} | {s: i for i, s in enumerate(starts, 1)}
+        self.shorter, self.ending = [0], [()]
+        for s in starts:
+            rest = 1
+            while s[rest:] not in self.state:
+                rest += 1
+            shorter = self.state[s[rest:]]
+            own = ((len(s), self.ids[s]),) if len(s) > 1 and s in self.ids else ()
+            self.shorter.append(shorter)
+            self.ending.append(own + self.ending[shorter])
+        self.starts = ["", *starts]
+        self.moves: dict[int, int] = {}
+
+    def move(self, state: int, char: str) -> int:
+        """The longest beginning of a piece that ends a prefix when ``char`` follows one that ``state`` ends."""
+        while (found := self.state.get(self.starts[state] + char)) is None and state:
+            state = self.shorter[state]
+        return found or 0
 
     def merge(self, text: str) -> list[str]:
         """The pieces of ``text`` by merging the best-scored pair, the leftmost of equals, until none is left."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(parts):
+                both = parts[i] + parts[after[i]]
+                score = self.score.get(both)
+                if score is not None:
+                    heappush(heap, (-score, i, both))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, both = heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j] = both, None
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [p for p in parts if p is not None]
 
     def compatible(self, before: int, piece: int) -> bool:
         """Whether two pieces side by side stay as they are; after a start or an unknown character, whether one does."""
@@ -106,27 +143,15 @@ class Model:
         a = self.pieces[before]
         return self.merge(a + b) == [a, b]
 
-    def ending(self, text: str, end: int, last: list[int]) -> tuple[int, int]:
-        """Length and id of the piece that ends ``text[:end]``; ``last`` has the ids that end all shorter prefixes.
-
-        The longest candidate that fits is taken; a character alone ends what no longer piece does.
-        """
-        ids, pairs = self.ids, self.pairs
-        for size in self.sizes.get(text[max(0, end - 2) : end], ()):
-            if size > end:
-                continue
-            piece = ids.get(text[end - size : end])
-            if piece is None:
-                continue
-            key = last[end - size] << 16 | piece
-            fits = pairs.get(key)
-            if fits is None:
-                if len(pairs) >= CACHE_PAIRS:
-                    pairs.clear()
-                fits = pairs[key] = self.compatible(last[end - size], piece)
-            if fits:
-                return size, piece
-        return 1, ids.get(text[end - 1], UNKNOWN)
+    def fits(self, before: int, piece: int) -> bool:
+        """``compatible``, remembered."""
+        key = before << 16 | piece
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[key] = self.compatible(before, piece)
+        return known
 
     def raw_ids(self, piece: int, char: str) -> bytes:
         return self.four[piece] if piece < START else b"".join(self.four[self.byte[x]] for x in char.encode("utf-8", "replace"))
@@ -134,62 +159,85 @@ class Model:
     def words(self, fresh: list[str]) -> None:
         """Encode distinct words. Sorted, they are the trie's paths in depth-first
         order: the states of the prefix that a word shares with the one before
-        stay on the stack, and only the rest is worked out."""
-        short = sorted(w for w in fresh if len(w) <= LONG_WORD and not w.startswith(MARK * 2))
-        last, ids = [START], [b""]
-        for word, same in zip(short, shared_prefixes(short)):
-            del last[same + 1 :], ids[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                size, piece = self.ending(word, end, last)
+        stay on the stack, and only the rest is worked out. Of the pieces that
+        can end a prefix, the longest that fits is taken; a character alone ends
+        what no longer piece does."""
+        walked = sorted(w for w in fresh if not w.startswith(MARK * 2))
+        states, last, sizes = [0], [START], [0]
+        ids, ending, moves, pairs = self.ids, self.ending, self.moves, self.pairs
+        for word, same in zip(walked, shared_prefixes(walked)):
+            del states[same + 1 :], last[same + 1 :], sizes[same + 1 :]
+            state = states[same]
+            for end, char in enumerate(word[same:], same + 1):
+                step = state << 21 | ord(char)
+                state = moves.get(step)
+                if state is None:
+                    if len(moves) >= CACHE_PAIRS:
+                        moves.clear()
+                    state = moves[step] = self.move(step >> 21, char)
+                for size, piece in ending[state]:
+                    before = last[end - size]
+                    fits = pairs.get(before << 16 | piece)
+                    if self.fits(before, piece) if fits is None else fits:
+                        break
+                else:
+                    size, piece = 1, ids.get(char, UNKNOWN)
+                states.append(state)
                 last.append(piece)
-                ids.append(ids[end - size] + self.raw_ids(piece, word[end - 1]))
-            self.known[word] = ids[-1]
+                sizes.append(size)
+            parts, at = [], len(word)
+            while at:
+                parts.append(self.raw_ids(last[at], word[at - 1]))
+                at -= sizes[at]
+            self.known[word] = b"".join(reversed(parts))
         for word in fresh:
             if word.startswith(MARK * 2):
                 self.known[word] = b"".join(self.raw_ids(self.ids.get(p, UNKNOWN), p) for p in self.merge(word))
-            elif len(word) > LONG_WORD:
-                last, sizes = [START], [0]
-                for end in range(1, len(word) + 1):
-                    size, piece = self.ending(word, end, last)
-                    last.append(piece)
-                    sizes.append(size)
-                parts, at = [], len(word)
-                while at:
-                    parts.append(self.raw_ids(last[at], word[at - 1]))
-                    at -= sizes[at]
-                self.known[word] = b"".join(reversed(parts))
 
     def of_words(self, words: list[str]) -> list[bytes]:
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-            fresh = words
-        self.words(fresh)
-        return list(map(self.known.__getitem__, words))
+        """Ids of distinct words. When the cache is full its older half goes, but for words that are met again."""
+        if len(self.known) > CACHE_WORDS // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        fresh = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = older.get(words[i])
+            if found[i] is None:
+                fresh.append(words[i])
+            else:
+                known[words[i]] = found[i]
+        if not fresh:
+            return found
+        lines = [w for w in fresh if "\n" in w]  # no merge crosses the end of a line
+        parts = {w: _WORD.findall(w) for w in lines}
+        self.words(list({p for w in lines for p in parts[w]} | {w for w in fresh if w not in parts}))
+        for w in lines:
+            known[w] = b"".join(map(known.__getitem__, parts[w]))
+        return [known[w] if x is None else x for w, x in zip(words, found)]
+
+    def of_lists(self, lists: pa.ListArray, mark: str = "") -> pa.ListArray:
+        """Ids of texts given as lists of words, ``mark`` before each; only distinct words are encoded, and ids are laid out by index."""
+        coded = lists.flatten().dictionary_encode()
+        found = self.of_words(pc.binary_join_element_wise(mark, coded.dictionary, "").to_pylist())
+        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4)
+        pool = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)))
+        by_word = pool.take(coded.indices)
+        bounds = np.asarray(by_word.offsets)[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), by_word.values)
 
     def encode_step(self, texts: pa.Array) -> pa.ListArray:
-        """Ids of each text. Marked words are split and told apart in Arrow; only
-        distinct ones are encoded, and ids are laid out by index."""
+        """Ids of each text. Arrow splits at spaces; texts with a run of them, one at an end, or a marker of their own are split in Python."""
         texts = pc.fill_null(texts, "")
-        if pc.any(pc.match_substring(texts, _SEP)).as_py():
-            split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts.to_pylist()]
-            lists = pa.array(split, pa.list_(pa.string()))
-        else:
-            marked = pc.replace_substring(pc.binary_join_element_wise(MARK, texts, ""), " ", MARK)
-            apart = pc.replace_substring_regex(marked, f"({MARK}+|\n)", rf"{_SEP}\1")
-            apart = pc.replace_substring(apart, "\n", f"\n{_SEP}")
-            lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), "", apart), _SEP)
-        coded = lists.flatten().dictionary_encode()
-        found = self.of_words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        pool = np.frombuffer(b"".join(found), dtype=np.int32)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        length = sizes[codes]
-        ends = np.cumsum(length)
-        shift = (np.cumsum(sizes) - sizes)[codes] - (ends - length)
-        ids = pool[np.repeat(shift, length) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate(([0], ends))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.equal(texts, ""))
+        split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts.filter(odd).to_pylist()]
+        plain = self.of_lists(pc.split_pattern(texts.filter(pc.invert(odd)), " "), MARK)
+        if not split:
+            return plain
+        at = np.argsort(np.asarray(odd), kind="stable")
+        back = np.empty(len(at), dtype=np.int64)
+        back[at] = np.arange(len(at))
+        return pa.concat_arrays([plain, self.of_lists(pa.array(split, pa.list_(pa.string())))]).take(pa.array(back))
 
     def encode_batch(self, texts) -> list[list[int]]:
         return self.encode_step(pa.array(list(texts), pa.string())).to_pylist()

@@ -187,6 +187,36 @@ def test_pieces_are_the_librarys(spark, texts):
     assert all(r.ids == sp.encode(r.text or "") and r.back == (r.text or "") for r in out)
 
 
+@pytest.mark.parametrize("rows", [[(1, "a" * 5000), (2, "   ")], [(1, " ")], [(1, "   x"), (2, None)], [(1, " " * 100_000 + "x")], [(1, "a" * 200 + "\n" + "a" * 200), (2, "▁▁ b ▁")], []])
+def test_pieces_of_odd_tables(spark, rows):
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = SentencePieceProcessor(model_file=path)
+    pieces.model.cache_clear()
+    docs = frame(spark, rows).withColumn("ids", F.lit("clash")).withColumn("back", F.lit("clash"))
+    out = docs.select("*", pieces.encode("text", path).alias("coded")).select("*", pieces.decode("coded", path).alias("again")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.coded == sp.encode(r.text or "") and r.again == sp.decode(r.coded) and r.ids == r.back == "clash"
+    fresh = pieces.Model(path)
+    for _, t in rows:
+        assert fresh.encode_batch([t]) == [sp.encode(t or "")]
+
+
+def test_pieces_of_random_texts_and_a_full_cache(monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model = SentencePieceProcessor(model_file=path), pieces.Model(path)
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 50)
+    monkeypatch.setattr(pieces, "CACHE_PAIRS", 20)
+    rng = random.Random(5)
+    some = ["".join(rng.choice([" ", "  ", "a", "the", "ing", "\n", "▁", "é", "中", ",", "000"]) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    for a in range(0, 600, 20):
+        assert model.encode_batch(some[a : a + 20]) == sp.encode(some[a : a + 20])
+
+
 # quality
 
 
