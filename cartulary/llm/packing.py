@@ -16,7 +16,9 @@ cut into powers of two, which need no padding.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are
 packed each for itself; a text longer than a window fills several; an empty
-table gives an empty result.
+table gives an empty result; of neighbours whose scores agree to two decimals the
+earlier in the shard's order (MinHash, then id) goes first; only the id and text columns are
+read, so other columns and their names do not matter.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ WINDOW = 4096
 END_ID = 2
 VOCABULARY = 1 << 16
 #: Ids that share one index.
-SHARD_IDS = 1 << 21
+SHARD_IDS = 1 << 22
 #: Ids that one partition holds, about.
 PARTITION_IDS = 1 << 26
 K1, B = 1.2, 0.75
@@ -48,6 +50,8 @@ CACHE_WORDS, CACHE_CHUNKS = 600_000, 100_000
 #: Characters that are tokenised in one step.
 STEP_CHARS = 6 << 20
 
+#: Counts of a task, as rows of a term and a number.
+COUNTS = pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int64())]))
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Characters that str.split() takes for white space, and the tokenizer does not.
@@ -70,9 +74,13 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: For words that are set apart and in lower case already.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
         self.known: dict[str, bytes] = {}
@@ -96,7 +104,8 @@ class WordTokenizer:
                 self.known[words[i]] = found[i]
         for a in range(0, len(fresh), 4096):
             part = fresh[a : a + 4096]
-            ids = self.ids(" ".join(part))
+            (e,) = self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u2")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and "" not in part:
                 raw, at = ids.tobytes(), 0
@@ -121,25 +130,23 @@ class WordTokenizer:
             self.strange[chunk] = np.array(e.ids, dtype="<u2").tobytes()
         return b"".join(map(self.strange.__getitem__, chunks))
 
+    def of_lists(self, lists: pa.ListArray) -> list[bytes]:
+        """Ids of texts given as lists of words; only distinct words are looked up, and ids are laid out by index."""
+        coded = lists.flatten().dictionary_encode()
+        found = self.of_words(coded.dictionary.to_pylist())
+        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2)
+        pool = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.uint16)))
+        by_word = pool.take(coded.indices)
+        bounds = 2 * np.asarray(by_word.offsets)[np.asarray(lists.offsets) - lists.offsets[0].as_py()].astype(np.int64)
+        raw = memoryview(np.asarray(by_word.values).tobytes())
+        return [bytes(raw[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text of a string array. Words are split and told apart in
-        Arrow; only distinct ones are looked up, and ids are laid out by index."""
+        """Ids of each text of a string array; plain texts are split in Arrow."""
         texts = pc.fill_null(texts, "")
         plain = pc.invert(pc.match_substring_regex(texts, _NOT_PLAIN))
         apart = pc.replace_substring_regex(pc.utf8_lower(texts.filter(plain)), _APART, r" \1 ")
-        lists = pc.utf8_split_whitespace(apart)
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        found = self.of_words(words)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
-        pool = np.frombuffer(b"".join(found), dtype="<u2")
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        length = sizes[codes]
-        ends = np.cumsum(length)
-        shift = (np.cumsum(sizes) - sizes)[codes] - (ends - length)
-        raw = memoryview(pool[np.repeat(shift, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
-        bounds = 2 * np.concatenate(([0], ends))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-        done = iter([bytes(raw[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+        done = iter(self.of_lists(pc.utf8_split_whitespace(apart)))
         return [next(done) if ok else self.other(t.as_py()) for ok, t in zip(plain.to_pylist(), texts)]
 
 
@@ -153,24 +160,6 @@ def _steps(texts: pa.Array) -> Iterator[pa.Array]:
         at = stop
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids)``: ids as little-endian 16-bit numbers, the end id last."""
-    small_batches(docs.sparkSession)
-    end = np.array([end_id], dtype="<u2").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
-        for batch in batches:
-            at = 0
-            for texts in _steps(batch.column("text")):
-                ids = pa.array([x + end for x in tokenizer.encode(texts)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), ids], ["doc_id", "ids"])
-                at += len(texts)
-            pa.default_memory_pool().release_unused()
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
-
-
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their counts; 16-bit numbers are sorted by radix."""
     ordered = np.sort(ids, kind="stable")
@@ -178,30 +167,36 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], np.diff(first, append=len(ids))
 
 
-def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
-    """df of each vocabulary id, number of documents, mean length; partial counts are summed by Spark."""
+class Frequencies:
+    """How many documents hold each vocabulary id, the number of documents, and of their ids."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(VOCABULARY, dtype=np.int64)
-        seen = np.zeros(VOCABULARY, dtype=bool)
-        docs = size = 0
-        for batch in batches:
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw, dtype="<u2")
-                if len(ids) > 1024:  # marks are cheaper than sorting
-                    seen[ids] = True
-                    df += seen
-                    seen[ids] = False
-                else:
-                    df[distinct(ids)[0]] += 1
-                docs += 1
-                size += len(ids)
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"term": np.concatenate((at, [-1, -2])), "n": np.concatenate((df[at], [docs, size]))})
+    def __init__(self):
+        self.df, self.docs, self.size = np.zeros(VOCABULARY, dtype=np.int64), 0, 0
+        self.seen = np.zeros(VOCABULARY, dtype=bool)
 
+    def add(self, ids: np.ndarray) -> None:
+        if len(ids) > 1024:  # marks are cheaper than sorting
+            self.seen[ids] = True
+            self.df += self.seen
+            self.seen[ids] = False
+        else:
+            self.df[distinct(ids)[0]] += 1
+        self.docs += 1
+        self.size += len(ids)
+
+    def rows(self) -> list[dict]:
+        """Counts by term; -1 stands for the documents, -2 for their ids."""
+        at = np.flatnonzero(self.df)
+        terms, counts = [*at.tolist(), -1, -2], [*self.df[at].tolist(), self.docs, self.size]
+        return [{"term": t, "n": n} for t, n in zip(terms, counts)]
+
+
+def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
+    """df of each vocabulary id, number of documents, mean length: the counts of all tasks, summed by Spark."""
     df = np.zeros(VOCABULARY, dtype=np.int64)
     docs = size = 0
-    for term, n in tokens.select("ids").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
+    counts = tokens.where("counts is not null").select(F.inline("counts"))
+    for term, n in counts.groupBy("term").agg(F.sum("n")).collect():
         if term == -1:
             docs = n
         elif term == -2:
@@ -211,8 +206,35 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, docs, size / max(1, docs)
 
 
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids, counts)``: ids as little-endian 16-bit numbers, the end id last, with null counts; and for
+    each task a row with null ids and its counts (``Frequencies.rows``), so that they are taken in the same pass."""
+    small_batches(docs.sparkSession)
+    end = np.array([end_id], dtype="<u2").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, seen = WordTokenizer(tokenizer_path), Frequencies()
+        for batch in batches:
+            at = 0
+            for texts in _steps(batch.column("text")):
+                ids = [x + end for x in tokenizer.encode(texts)]
+                for raw in ids:
+                    seen.add(np.frombuffer(raw, dtype="<u2"))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.binary()), pa.nulls(len(ids), COUNTS)], ["doc_id", "ids", "counts"])
+                at += len(texts)
+            pa.default_memory_pool().release_unused()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.rows()], COUNTS)], ["doc_id", "ids", "counts"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts array<struct<term: int, n: long>>")
+
+
 class Shard:
-    """The BM25 inverted index of some documents, of which used ones drop out."""
+    """The BM25 inverted index of some documents, of which used ones drop out: whenever half are used, the index is cut to the rest.
+
+    Terms that an eighth of the documents hold, or more, have their postings as
+    rows over all documents, which are added whole: at most eight times the
+    room of the postings.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         terms, counts = zip(*map(distinct, docs))
@@ -221,23 +243,56 @@ class Shard:
         term, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
         length = np.fromiter(map(len, docs), dtype=np.float32, count=len(docs))[doc]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / np.float32(mean)))
+        held = np.bincount(term, minlength=VOCABULARY)
+        often = np.flatnonzero(held * 8 >= len(docs))
+        row = np.full(VOCABULARY, -1)
+        row[often] = np.arange(len(often))
+        at = row[term]  # -1 for other terms
+        self.rows = np.zeros((len(often), len(docs)), dtype=np.float32)
+        self.rows[at[at >= 0], doc[at >= 0]] = weight[at >= 0]
+        doc, term, weight = doc[at < 0], term[at < 0], weight[at < 0]
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
+        self.doc, self.weight = doc[order], weight[order].astype(np.float64)
         self.starts = np.zeros(VOCABULARY + 1, dtype=np.int64)
         np.cumsum(np.bincount(term, minlength=VOCABULARY), out=self.starts[1:])
-        self.best = terms
+        self.row, self.terms = row, terms
         self.free = np.ones(len(docs), dtype=bool)
+        #: The documents that the index covers.
+        self.live = np.arange(len(docs))
+
+    def shrink(self) -> None:
+        """Leave out what is used."""
+        keep = self.free[self.live]
+        number = np.cumsum(keep) - 1
+        self.live, self.rows = self.live[keep], self.rows[:, keep]
+        stay = keep[self.doc]
+        self.starts = np.concatenate(([0], np.cumsum(stay)))[self.starts]
+        self.doc, self.weight = number[self.doc[stay]], self.weight[stay]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of each live document for all terms of ``seed``."""
+        row = self.row[self.terms[seed]]
+        asked = np.zeros(len(self.rows), dtype=np.float32)
+        asked[row[row >= 0]] = 1
+        score = asked @ self.rows
+        rest = self.terms[seed][row < 0]
+        if len(rest):
+            at = [slice(a, b) for a, b in zip(self.starts[rest].tolist(), self.starts[rest.astype(np.int64) + 1].tolist())]
+            score = score + np.bincount(np.concatenate([self.doc[s] for s in at]), np.concatenate([self.weight[s] for s in at]), minlength=len(score))
+        return score
 
     def neighbours(self, seed: int, most: int = 64) -> np.ndarray:
         """The best ``most`` unused documents that share a term with ``seed``, best first, ties to the earlier; a caller with room for more asks again."""
-        at = [slice(self.starts[t], self.starts[t + 1]) for t in self.best[seed].tolist()]
-        score = np.bincount(np.concatenate([self.doc[s] for s in at]), np.concatenate([self.weight[s] for s in at]), minlength=len(self.free))
-        score[~self.free] = 0
+        if 2 * np.count_nonzero(self.free[self.live]) < len(self.live):
+            self.shrink()
+        score = self.scores(seed)
+        score[~self.free[self.live]] = 0
         hits = np.flatnonzero(score)
+        score = np.round(score[hits], 2)  # sums in single precision agree so far
         if len(hits) > most:
-            least = np.partition(score[hits], len(hits) - most)[len(hits) - most]
-            hits = hits[score[hits] >= least]
-        return hits[np.argsort(-score[hits], kind="stable")][:most]
+            least = np.partition(score, len(hits) - most)[len(hits) - most]
+            hits, score = hits[score >= least], score[score >= least]
+        return self.live[hits[np.argsort(-score, kind="stable")][:most]]
 
 
 class Windows:
@@ -319,7 +374,7 @@ def pack_shard(docs: list[tuple], windows: Windows, idf: np.ndarray, mean: float
 
 
 def pack(tokens: DataFrame, window: int = WINDOW, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Pieces of all documents of ``tokens`` (``doc_id``, ``ids``) in sequences of ``window`` ids."""
+    """Pieces of all documents of ``tokens`` (see ``tokenize``) in sequences of ``window`` ids."""
     df, docs, mean = document_frequencies(tokens)
     idf = np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     rare = (df > 0) & (df <= max(2, docs // 20))
@@ -354,7 +409,7 @@ def pack(tokens: DataFrame, window: int = WINDOW, shard_ids: int = SHARD_IDS) ->
 
     shuffle = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(1, min(shuffle, docs), int(docs * mean) // PARTITION_IDS)
-    dealt = tokens.mapInPandas(keyed, "doc_id long, ids binary, key long").repartitionByRange(partitions, "key", "doc_id")
+    dealt = tokens.where("ids is not null").select("doc_id", "ids").mapInPandas(keyed, "doc_id long, ids binary, key long").repartitionByRange(partitions, "key", "doc_id")
     return dealt.sortWithinPartitions("key", "doc_id").select("doc_id", "ids").mapInPandas(run, PIECES)
 
 
