@@ -103,14 +103,19 @@ def links(fps: DataFrame) -> DataFrame:
     return variants.withColumn("root", root).where("root is not null and root <> fp").select("fp", "root")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp, component_id)``, a row for each row of ``docs``; component_id is the smallest id reachable."""
-    small_batches(docs.sparkSession)
-    prints = materialize(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")))
+def with_components(prints: DataFrame) -> DataFrame:
+    """``prints`` (``id``, ``fp``, and what else it has; a stored table) with the smallest id reachable
+    (``component_id``) and the smallest fingerprint reachable (``class``)."""
     fps = prints.groupBy("fp").agg(F.min("id").alias("least"))
     active = materialize(possible(fps.select("fp")))
     classes = connected_components(links(active), "fp", "root").select(F.col("node").alias("fp"), F.col("component").alias("class"))
     labelled = fps.join(classes, "fp", "left").select("fp", "least", F.coalesce("class", "fp").alias("class"))
     smallest = labelled.groupBy("class").agg(F.min("least").alias("component_id"))
     by_fp = labelled.join(smallest, "class").select("fp", "component_id", "class")
-    return prints.join(by_fp, "fp").select("id", "fp", "component_id", "class")
+    return prints.join(by_fp, "fp").select(*prints.columns, "component_id", "class")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, fp, component_id, class)``, a row for each row of ``docs``."""
+    small_batches(docs.sparkSession)
+    return with_components(materialize(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp"))))
