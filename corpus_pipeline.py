@@ -3,8 +3,10 @@
 Every stage takes what its predecessor kept. All but the last return the columns
 of ``documents``; the last returns the pieces of packed sequences. Null and
 empty texts pass as the operators define it, an empty table gives an empty
-result, and other columns are carried along. Rows with equal ids count as one
-document.
+result, and other columns are carried along. Every row is a document, whatever
+its id: rows with equal ids and different texts are kept or dropped each for
+itself, and of equal ids in a SimHash group the first by fingerprint, hash of
+the text and place stays.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group keep the document with the smallest id; one without an id only if none has one."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    nameless = found.where("component_id is null").select("fp", "class").distinct()
-    others = docs.where("doc_id is null").select(F.struct("*").alias("row"), simhash.fingerprint(F.col("text")).alias("fp"))
-    return named.unionByName(others.join(nameless, "fp").dropDuplicates(["class"]).select("row.*"))
+    """Of the rows of each SimHash group keep the one with the smallest id; one without an id only if none has one.
+
+    Rows are chosen on narrow columns; texts take part in the last join alone.
+    """
+    small_batches(spark)
+    stored = materialize(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), simhash.fingerprint(F.col("text")).alias("fp"), F.xxhash64("text").alias("text_hash")))
+    found = simhash.with_components(stored.select(F.col("doc.doc_id").alias("id"), "fp", "text_hash", "row"))
+    order = F.struct(F.isnull("id"), "id", "fp", "text_hash", "row")
+    first = found.groupBy("class").agg(F.min_by("row", order).alias("row")).select("row")
+    return stored.join(first, "row", "left_semi").select("doc.*")
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
