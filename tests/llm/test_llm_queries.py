@@ -72,8 +72,17 @@ def test_pipeline_against_brute_force(spark):
     assert set(packed.doc_id.dropna()) == set(clean.doc_id.dropna())
 
 
+def test_equal_ids_with_different_texts(spark):
+    a, b = "a text that says one thing and then goes on to say more of it", "quite another line of words, which has nothing to do with the former"
+    rows = [(1, b), (3, b), (3, a), (None, a), (None, "a third text, without any id, that resembles none of the others")]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        kept = corpus_pipeline.keep_one_of_each_group(spark, docs.repartition(3), SF).collect()
+        assert {(r.doc_id, r.text) for r in kept} == {rows[0], rows[2], rows[4]} and len(kept) == 3
+
+
 def test_stages_with_clashing_names(spark):
-    names = ["_label_id", "_label", "_text", "_id", "id", "fp", "class", "component_id", "row", "spans", "ids", "key", "score"]
+    names = ["_label_id", "_label", "_text", "_id", "id", "fp", "class", "component_id", "row", "spans", "ids", "key", "score", "doc", "text_hash", "best"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     for n in names:
         docs = docs.withColumn(n, F.lit("clash"))
