@@ -14,7 +14,8 @@ Defined cases: vectors that are null, zero, or hold null or non-finite
 components, and rows without an id, take no part; vectors of unequal length are
 not compared; each query row is a query of its own and leaves out rows with its
 id; ties go to the smaller id; fewer than k candidates are all returned; an empty
-table gives an empty result.
+table gives an empty result; only the id and vector columns and those of the
+query condition are read, so other columns and their names do not matter.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .vectors import kmeans, pack_blocks, squared_distances, stack, unpack, usable
+from .vectors import kmeans, pack_blocks, sample_vectors, squared_distances, stack, unpack, usable
 
-#: Rows on which graph, partition and network are fitted, by hash order.
+#: Distinct vectors on which graph, partition and network are fitted, by hash order.
 SAMPLE = 12_000
-#: Rows a partition should have, about; at most MAX_PARTS partitions.
-PART_ROWS, MAX_PARTS = 1600, 256
+#: Rows a partition should have, about; small tables have FEW_PARTS partitions of SMALL_PART rows or more, none more than MAX_PARTS.
+PART_ROWS, MAX_PARTS, SMALL_PART, FEW_PARTS = 1600, 256, 100, 16
 GRAPH_DEGREE = 20
 HIDDEN, EPOCHS, BATCH, RATE = 128, 40, 256, 3e-3
 #: A query goes on to further partitions until those it has reached are this probable,
@@ -49,10 +50,10 @@ def graph(x: np.ndarray, degree: int) -> np.ndarray:
     """For each row of the sample, the rows with the largest inner product."""
     degree = min(degree, len(x) - 1)
     out = np.empty((len(x), degree), dtype=np.int64)
-    for a in range(0, len(x), 1024):
-        s = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 256):
+        s = x[a : a + 256] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        out[a : a + 1024] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
+        out[a : a + 256] = np.argpartition(s, len(x) - degree, axis=1)[:, len(x) - degree :]
     return out
 
 
@@ -176,11 +177,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable("vec"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
     dims = {d: n for d, n in rows.groupBy("dim").count().orderBy(F.desc("count")).limit(64).collect()}
-    sample = rows.orderBy(F.xxhash64("vec"), "id").select("vec").limit(SAMPLE).collect()
+    sample = sample_vectors(rows, SAMPLE)
     routers: dict[int, Router | None] = {}
     for dim, n in dims.items():
-        x = [v for (v,) in sample if len(v) == dim]
-        parts = int(min(MAX_PARTS, max(1, n // PART_ROWS), max(1, len(x) // 50)))
+        x = [v for v in sample if len(v) == dim]
+        parts = int(min(MAX_PARTS, max(n // PART_ROWS, min(FEW_PARTS, n // SMALL_PART)), len(x) // 50))
         routers[dim] = learn(stack(x), parts) if parts > 1 else None
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

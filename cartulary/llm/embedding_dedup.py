@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import connected_components, materialize
-from .vectors import kmeans, pack_blocks, squared_distances, stack, unpack, usable
+from .vectors import kmeans, nearest_centres, pack_blocks, squared_distances, stack, unpack, usable
 
 THRESHOLD = 0.98
-#: Representatives on which the quantisers are fitted, by hash order.
-SAMPLE = 8192
-#: Representatives a coarse list should have, about; at most MAX_LISTS lists.
-LIST_ROWS, MAX_LISTS = 4096, 1024
+#: Representatives on which the quantisers are fitted, by hash order: SAMPLE, more for many lists, at most MAX_SAMPLE.
+SAMPLE, LIST_SAMPLE, MAX_SAMPLE = 8192, 16, 65536
+#: Lists grow with the square root of the representatives; MAX_LISTS are reached at a thousand million of them.
+LISTS_PER_ROOT, MAX_LISTS = 1 / 8, 4096
+#: Vectors that are coded at a time.
+CODE_ROWS = 1024
 SUBSPACE_DIMS, CODES = 4, 64
 BLOCK_ROWS = 512
 SLACK = 1e-9
@@ -52,7 +54,7 @@ class Quantiser:
     @staticmethod
     def fit(x: np.ndarray, lists: int) -> Quantiser:
         centres = kmeans(x, lists)
-        rest = x - centres[squared_distances(x, centres).argmin(axis=1)]
+        rest = x - centres[nearest_centres(x, centres)[0]]
         at = list(range(0, x.shape[1], SUBSPACE_DIMS))
         cuts = tuple((a, min(a + SUBSPACE_DIMS, x.shape[1])) for a in at)
         return Quantiser(centres, cuts, tuple(kmeans(rest[:, a:b], CODES) for a, b in cuts))
@@ -117,9 +119,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str =
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("vec"))
     reps = rows.where(F.col("label").isNotNull() & usable("vec")).groupBy("label", "vec").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()))
-    lists = int(min(MAX_LISTS, max(1, reps.count() // LIST_ROWS)))
+    lists = int(min(MAX_LISTS, max(1, LISTS_PER_ROOT * reps.count() ** 0.5)))
     by_dim = defaultdict(list)
-    for (vec,) in reps.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).collect():
+    for (vec,) in reps.select("vec").orderBy(F.xxhash64("vec")).limit(min(MAX_SAMPLE, max(SAMPLE, LIST_SAMPLE * lists))).collect():
         by_dim[len(vec)].append(vec)
     quantisers = {}
     for dim, some in by_dim.items():
@@ -127,16 +129,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", label_col: str =
         quantisers[dim] = Quantiser.fit(x / np.linalg.norm(x, axis=1)[:, None], min(lists, max(1, len(some) // 8)))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, part in batch.groupby(batch["vec"].map(len)):
-                out = part[["label", "rid", "n", "vec"]].assign(dim=dim, cell=0, codes=b"", error=0.0, probes=[[0]] * len(part))
-                if dim in quantisers:
-                    x = stack(part["vec"])
-                    x /= np.linalg.norm(x, axis=1)[:, None]
-                    cell, codes, error = quantisers[dim].encode(x)
-                    near = quantisers[dim].probes(x, chord)
-                    out = out.assign(cell=cell, codes=[c.tobytes() for c in codes], error=error, probes=[np.flatnonzero(p).tolist() for p in near])
-                yield out[["label", "dim", "cell", "rid", "n", "vec", "codes", "error", "probes"]]
+        alike = (group for batch in batches for group in batch.groupby(batch["vec"].map(len)))
+        for dim, part in ((dim, rows[a : a + CODE_ROWS]) for dim, rows in alike for a in range(0, len(rows), CODE_ROWS)):
+            out = part[["label", "rid", "n", "vec"]].assign(dim=dim, cell=0, codes=b"", error=0.0, probes=[[0]] * len(part))
+            if dim in quantisers:
+                x = stack(part["vec"])
+                x /= np.linalg.norm(x, axis=1)[:, None]
+                cell, codes, error = quantisers[dim].encode(x)
+                near = quantisers[dim].probes(x, chord)
+                out = out.assign(cell=cell, codes=[c.tobytes() for c in codes], error=error, probes=[np.flatnonzero(p).tolist() for p in near])
+            yield out[["label", "dim", "cell", "rid", "n", "vec", "codes", "error", "probes"]]
 
     types = {f.name: f.dataType.simpleString() for f in reps.schema}
     coded = materialize(reps.mapInPandas(encode, f"label {types['label']}, dim int, cell int, rid long, n long, vec {types['vec']}, codes binary, error double, probes array<int>"))

@@ -25,23 +25,38 @@ def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0)
 
 
+def nearest_centres(x: np.ndarray, centres: np.ndarray, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and its squared distance, a block of rows at a time."""
+    near, far = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+    for a in range(0, len(x), rows):
+        d = squared_distances(x[a : a + rows], centres)
+        near[a : a + rows] = d.argmin(axis=1)
+        far[a : a + rows] = d.min(axis=1)
+    return near, far
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Centres of a small sample; an empty centre moves to the point that is worst off."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        d = squared_distances(x, centres)
-        near = d.argmin(axis=1)
+        near, least = nearest_centres(x, centres)
         count = np.bincount(near, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, near, x)
         full = count > 0
         centres[full] = total[full] / count[full, None]
-        far = np.argsort(-d.min(axis=1))
-        centres[~full] = x[far[: (~full).sum()]]
+        centres[~full] = x[np.argsort(-least)[: (~full).sum()]]
     return centres
 
 
+def sample_vectors(rows: DataFrame, most: int) -> list:
+    """Distinct vectors of ``rows`` (column vec), at most ``most``: those with the smallest hashes, so that a group of copies counts once."""
+    hashes = rows.select(F.xxhash64("vec").alias("h")).distinct().orderBy("h").limit(most)
+    last = hashes.agg(F.max("h")).first()[0]
+    return [] if last is None else [v for (v,) in rows.where(F.xxhash64("vec") <= last).select("vec").dropDuplicates(["vec"]).orderBy(F.xxhash64("vec")).collect()]
+
+
 def pack_blocks(rows: DataFrame, keys: list[str], row_id: str, size: int) -> DataFrame:
     """``keys``, ``block`` and ``payload`` (pickled columns): the rows of each key in blocks of about ``size``.
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartulary.llm import ann, embedding_dedup
+from cartulary.llm.vectors import sample_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -17,7 +18,7 @@ def clusters(n, dims, seed, spread=0.012):
 
 
 def test_links_and_components(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "LIST_ROWS", 60)
+    monkeypatch.setattr(embedding_dedup, "LISTS_PER_ROOT", 1 / 3)
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 40)
     x = clusters(900, 16, 1)
     rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
@@ -88,6 +89,26 @@ def test_search_in_partitions(spark, monkeypatch):
     assert hit / len(got) >= 0.9
 
 
+def test_search_of_a_given_table_goes_through_partitions(spark, monkeypatch):
+    visited = []
+    keep = ann.learn
+    monkeypatch.setattr(ann, "learn", lambda x, parts: visited.append(parts) or keep(x, parts))
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = ann.nearest(table, F.col("vec_id") % 20 == 0).toPandas()
+    assert visited and min(visited) >= 4
+    rows = {r.vec_id: list(r.embedding) for r in table.collect() if r.vec_id is not None and r.embedding and all(v is not None and np.isfinite(v) for v in r.embedding) and any(r.embedding)}
+    hit = sum((p.score >= brute(rows, q, 20)[-1][1] - 1e-9).sum() for q, p in got.groupby("query_id"))
+    assert hit / len(got) >= 0.9
+
+
+def test_sample_counts_a_group_of_copies_once(spark):
+    x = [[float(i), 1.0] for i in range(50)]
+    df = spark.createDataFrame([(v,) for v in x] + [(x[3],)] * 500, "vec array<double>")
+    some = sample_vectors(df, 30)
+    assert len(some) == 30 == len({tuple(v) for v in some})
+    assert sample_vectors(df.limit(0), 30) == []
+
+
 def test_search_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (2, [2.0, 0.0], 0), (20, [1.0], 0)], SCHEMA)
     got = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
