@@ -76,3 +76,43 @@ def attention(rows: DataFrame, group: str, pos: str, vec: str, window: int) -> D
     near = near.withColumn("weights", weights)
     mixed = F.transform(F.sequence(F.lit(0), F.size("_q") - 1), lambda d: F.aggregate(F.zip_with("weights", "_near", lambda w, k: w * k[d]), F.lit(0.0), lambda s, p: s + p))
     return near.withColumn("mixed", mixed).drop("_near", "_q")
+
+
+def leave_one_out(df: DataFrame, label: str, vec: str) -> DataFrame:
+    """``(label, predicted)`` of each labelled row by class means that leave it out.
+
+    Without a row, its class mean is n / (n - 1) times as far from it; a class of
+    one row has no mean for that row.
+    """
+    labelled = df.where(F.col(label).isNotNull())
+    protos = prototypes(labelled, label, vec)
+    sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}  # as many rows as prototypes()
+    x = doubles(vec)
+
+    def far(name, mean: list) -> Column:
+        d = distance(x, F.array(*map(F.lit, mean)))
+        own = d * sizes[name] / (sizes[name] - 1) if sizes[name] > 1 else F.lit(float("inf"))
+        return F.struct(F.when(F.col(label) == name, own).otherwise(d).alias("d"), F.lit(name).alias("label"))
+
+    return labelled.select(F.col(label).alias("label"), F.array_min(F.array(*[far(n, m) for n, m in protos]))["label"].alias("predicted"))
+
+
+def noise(row_id: Column, pos: Column) -> Column:
+    """A number of mean 0 and deviation 1 drawn from row and place alone: three uniform draws of a hash, summed and scaled."""
+    digest = F.md5(F.concat(row_id.cast("string"), F.lit("-"), pos.cast("string")).cast("binary"))
+    draw = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("double") / 4294967296.0
+    return (draw(1) + draw(9) + draw(17) - 1.5) * 2
+
+
+def robustness(df: DataFrame, row_id: str, label: str, vec: str, scale: float) -> DataFrame:
+    """``(predicted, after)``: the nearest class mean of each row, and of the row with noise of deviation ``scale``."""
+    protos = prototypes(df, label, vec)
+    before = classify(df.select(row_id, vec), protos, vec).select(row_id, vec, "predicted")
+    moved = before.withColumn(vec, F.transform(doubles(vec), lambda x, i: x + scale * noise(F.col(row_id), i)))
+    return classify(moved.withColumnRenamed("predicted", "before"), protos, vec).select(F.col("before").alias("predicted"), F.col("predicted").alias("after"))
+
+
+def sinusoidal(place: Column, dims: Column) -> Column:
+    """The sinusoidal code of a place: sines at even and cosines at odd dimensions."""
+    angle = lambda i: place / F.pow(F.lit(10000.0), (i - i % 2) / dims)
+    return F.transform(F.sequence(F.lit(0), dims - 1), lambda i: F.when(i % 2 == 0, F.sin(angle(i))).otherwise(F.cos(angle(i))))

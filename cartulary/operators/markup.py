@@ -7,11 +7,14 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-NODES = "page_id long, node_id int, parent_id int, pos int, depth int, tag string, attrs map<string,string>, text string"
+NODES = "page_id long, node_id int, parent_id int, pos int, depth int, tag string, attrs map<string,string>, text string, line int, last_id int"
+#: Nodes that are sent to Spark in one batch, about.
+BATCH_NODES = 20_000
 
 
 class _Tree(HTMLParser):
@@ -27,7 +30,7 @@ class _Tree(HTMLParser):
         parent = self.open[-1][0]
         pos = self.children.get(parent, 0)
         self.children[parent] = pos + 1
-        self.nodes.append((len(self.nodes), parent, pos, len(self.open) - 1, tag, attrs, text))
+        self.nodes.append((len(self.nodes), parent, pos, len(self.open) - 1, tag, attrs, text, self.getpos()[0]))
         return len(self.nodes) - 1
 
     def handle_starttag(self, tag, attrs):
@@ -56,16 +59,37 @@ def parse(html: str | None) -> list[tuple]:
     return tree.nodes
 
 
+def last_descendants(tree: list[tuple]) -> list[int]:
+    """For each node, the last node below it (itself if it has none): parents come before their children."""
+    last = list(range(len(tree)))
+    for node in range(len(tree) - 1, -1, -1):
+        parent = tree[node][1]
+        if parent >= 0:
+            last[parent] = max(last[parent], last[node])
+    return last
+
+
 def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row for each element and text of each page."""
+    """One row for each element and text of each page, with the line it begins on and the last node below it."""
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32()]
+    names = [c.split()[0] for c in NODES.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in NODES.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, html in zip(batch["page_id"], batch["html"]):
-                yield pd.DataFrame([(page_id, *n) for n in parse(html)], columns=columns)
+            rows: list[tuple] = []
+            for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tree = parse(html)
+                rows += [(page_id, *n[:5], list(n[5].items()), *n[6:], last) for n, last in zip(tree, last_descendants(tree))]
+                if len(rows) >= BATCH_NODES:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
 
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, NODES)
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, NODES)
 
 
 def dom_summary(node_table: DataFrame) -> DataFrame:
@@ -85,7 +109,7 @@ def to_markdown(html: str | None) -> str:
     parts: list[str] = []
     tree = parse(html)
     tags = {n[0]: (n[4], n[5], n[1]) for n in tree}
-    for _, parent, _, _, tag, attrs, text in tree:
+    for _, parent, _, _, tag, attrs, text, _ in tree:
         above, at = [], parent
         while at >= 0:
             above.append(tags[at])
