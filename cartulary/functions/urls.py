@@ -17,10 +17,19 @@ def parts(url: str) -> list[Column]:
     ]
 
 
+def normalized(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; one that climbs above the root stays at the root."""
+    step = lambda done, s: F.when(s == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    closed = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+    return F.array_join(F.aggregate(F.split(closed, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def resolve(base_path: Column, href: Column) -> Column:
-    """The site path that a link reaches; null for links with a scheme."""
+    """The site path that a link reaches; null for links with a scheme or a host of their own."""
     bare = F.regexp_extract(href, r"^[^?#]*", 0)
-    return F.when(href.rlike("^[a-z]+:"), F.lit(None)).when(href.startswith("/"), bare).otherwise(F.concat(F.regexp_replace(base_path, r"[^/]*$", ""), bare))
+    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_replace(base_path, r"[^/]*$", ""))
+    full = F.when(href.startswith("/"), bare).when(bare == "", base_path).otherwise(F.concat(folder, bare))
+    return F.when(href.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|//)"), F.lit(None)).otherwise(normalized(full))
 
 
 def shape(path: Column) -> Column:
@@ -37,7 +46,7 @@ def masked(path: Column) -> Column:
 def endpoint_name(method: Column, path: Column) -> Column:
     """A camel-case name from method and the path's plain segments."""
     plain = F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.rlike("[0-9{}:]"))
-    return F.concat(F.lower(method), F.array_join(F.transform(plain, lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1000))), ""))
+    return F.concat(F.lower(method), F.array_join(F.transform(plain, lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)))), ""))
 
 
 def fnv1a32(text: Column) -> Column:

@@ -12,13 +12,13 @@ from ..plans.scratch import drop_path, materialize, scratch_dir
 
 
 def redirect_closure(hops: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
-    """``(src, dst, cyclic)``: where each source ends; one hop a source.
+    """``(src, dst, cyclic)``: where each source ends; of several hops of a source the smallest target counts.
 
     Pointer doubling: each round joins the map with itself, so chains of length
     n take log n rounds. When more hops are covered than there are sources, what
     still rests on a source is in a cycle or leads into one.
     """
-    one = materialize(hops.select(F.col(source).alias("src"), F.col(target).alias("dst")))
+    one = materialize(hops.groupBy(F.col(source).alias("src")).agg(F.min(target).alias("dst")))
     sources, covered, now = one.count(), 1, one
     while covered <= sources:
         far = now.select(F.col("src").alias("via"), F.col("dst").alias("far"))

@@ -132,13 +132,13 @@ def r25_nested_flatten_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x").cast("double")), 6).alias("total"))
 
 
-@query("""WITH c AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2), m AS (SELECT p_brand, arg_min(p_size, (-n, p_size)) AS body FROM c GROUP BY 1)
-  SELECT c.p_brand, any_value(body) AS body, max(p_size) FILTER (p_size < body) AS smaller, min(p_size) FILTER (p_size > body) AS larger FROM c JOIN m ON c.p_brand = m.p_brand GROUP BY 1""")
+@query("""WITH c AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2), m AS (SELECT p_brand, arg_min(p_size, (-n, p_size)) AS body, sum(n) AS samples FROM c GROUP BY 1)
+  SELECT c.p_brand, any_value(body) AS body, max(p_size) FILTER (p_size < body) AS smaller, min(p_size) FILTER (p_size > body) AS larger FROM c JOIN m ON c.p_brand = m.p_brand WHERE samples < 10 OR n > 1 GROUP BY 1""")
 def r26_steps_around_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent size of each brand and the sizes next to it."""
+    """The most frequent size of each brand and the sizes next to it; of ten samples or more, single ones do not count."""
     c = relational.tally(table(spark, sf_dir, "part").select(F.struct("p_brand", "p_size").alias("k")), "k").select("k.*", "n")
-    mode = c.groupBy("p_brand").agg(F.min(F.struct((-F.col("n")).alias("m"), "p_size")).alias("b")).select("p_brand", F.col("b.p_size").alias("body"))
-    near = c.join(mode, "p_brand").groupBy("p_brand").agg(F.first("body").alias("body"), F.max(F.when(F.col("p_size") < F.col("body"), F.col("p_size"))).alias("smaller"), F.min(F.when(F.col("p_size") > F.col("body"), F.col("p_size"))).alias("larger"))
+    mode = c.groupBy("p_brand").agg(F.min(F.struct((-F.col("n")).alias("m"), "p_size")).alias("b"), F.sum("n").alias("samples")).select("p_brand", F.col("b.p_size").alias("body"), "samples")
+    near = c.join(mode, "p_brand").where("samples < 10 or n > 1").groupBy("p_brand").agg(F.first("body").alias("body"), F.max(F.when(F.col("p_size") < F.col("body"), F.col("p_size"))).alias("smaller"), F.min(F.when(F.col("p_size") > F.col("body"), F.col("p_size"))).alias("larger"))
     return near
 
 
@@ -332,12 +332,12 @@ def r65_nearest_following(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where((F.col("after") > F.col("ts")) & (gap <= 3600000000)).select("user_id", "event_id", F.floor(gap / 1000000).cast("long").alias("gap"))
 
 
-@query("""WITH m AS (SELECT l_linenumber AS step, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1) SELECT count(*) AS steps, round(least(1.5, greatest(1.0, exp(regr_slope(ln(v), step)))), 6) AS ratio FROM m""")
+@query("""WITH m AS (SELECT l_linenumber AS step, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1) SELECT count(*) AS steps, round(CASE WHEN count(*) >= 3 THEN least(1.5, greatest(1.125, exp(regr_slope(ln(v), step)))) END, 6) AS ratio FROM m""")
 def r67_log_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The growth ratio from step to step by a log-linear fit, within bounds."""
     m = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("step")).agg(F.avg("l_extendedprice").alias("v"))
     slope = F.regr_slope(F.log("v"), F.col("step").cast("double"))
-    return m.agg(F.count("*").alias("steps"), F.round(F.least(F.lit(1.5), F.greatest(F.lit(1.0), F.exp(slope))), 6).alias("ratio"))
+    return m.agg(F.count("*").alias("steps"), F.round(F.when(F.count("*") >= 3, F.least(F.lit(1.5), F.greatest(F.lit(1.125), F.exp(slope)))), 6).alias("ratio"))
 
 
 @query("SELECT p_partkey, k AS step, round(p_size * pow(1.25, k), 4) AS size FROM part, (SELECT unnest(range(-2, 6))::INT AS k)")
@@ -413,10 +413,10 @@ def r82_fold_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.count("*").alias("total"), F.count_if(F.col("last") != "error").alias("passed"), F.count_if(F.col("last") == "error").alias("failed"))
 
 
-@query(f"""WITH {CALLS_SQL}, c AS (SELECT method, regexp_replace(path, '/[0-9]+$', '/*') AS shape, min(seq) AS seq, min(status) FILTER (status BETWEEN 200 AND 299) AS ok FROM calls GROUP BY 1, 2) SELECT method, shape, coalesce(ok, 200) AS status FROM c""")
+@query(f"""WITH {CALLS_SQL}, c AS (SELECT method, regexp_replace(path, '/[0-9]+$', '/*') AS shape, min(seq) AS seq, arg_min(status, seq) FILTER (status BETWEEN 200 AND 299) AS ok FROM calls GROUP BY 1, 2) SELECT method, shape, coalesce(ok, 200) AS status FROM c""")
 def r83_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A handler for each call shape with a success status, 200 where none was seen."""
-    c = calls(spark, sf_dir).groupBy("method", urls.shape(F.col("path")).alias("shape")).agg(F.min(F.when(F.col("status").between(200, 299), F.col("status"))).alias("ok"))
+    c = calls(spark, sf_dir).groupBy("method", urls.shape(F.col("path")).alias("shape")).agg(F.min_by("status", F.when(F.col("status").between(200, 299), F.col("seq"))).alias("ok"))
     return c.select("method", "shape", F.coalesce("ok", F.lit(200)).alias("status"))
 
 

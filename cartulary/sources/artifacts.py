@@ -64,10 +64,17 @@ def robots_rules(spark: SparkSession, path: str, agent: str = "*") -> DataFrame:
 
 
 def robots_verdicts(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
-    """``paths`` with ``allowed``: the longest matching rule decides, allow wins ties; rules of one site are few."""
-    hits = paths.join(F.broadcast(rules.limit(10_000)), F.col(path_col).startswith(F.col("pattern")), "left")
-    best = hits.groupBy(*paths.columns).agg(F.max(F.struct(F.length("pattern").alias("n"), "allow")).alias("b"))
-    return best.select(*paths.columns, F.coalesce("b.allow", F.lit(True)).alias("allowed"))
+    """``paths`` with ``allowed``: the longest matching rule decides, allow wins ties.
+
+    Rules meet the beginnings of each path by equality; beginnings longer than the longest rule are not made.
+    """
+    longest = rules.agg(F.max(F.length("pattern"))).first()[0] or 0
+    length = F.least(F.length(path_col), F.lit(longest))
+    begin = F.transform(F.sequence(F.lit(0), F.coalesce(length, F.lit(0))), lambda n: F.substring(F.col(path_col), F.lit(1), n))
+    known = paths.select(path_col).distinct()
+    hits = known.select(path_col, F.explode(begin).alias("pattern")).join(rules, "pattern")
+    best = hits.groupBy(path_col).agg(F.max(F.struct(F.length("pattern").alias("n"), "allow")).alias("_best"))
+    return paths.join(best, path_col, "left").select(*paths.columns, F.coalesce("_best.allow", F.lit(True)).alias("allowed"))
 
 
 def sitemap_urls(spark: SparkSession, path: str, origin: str) -> DataFrame:

@@ -48,6 +48,8 @@ LINKS_SQL = (
     PAGES_SQL
     + r""", h AS (SELECT page_id, host, path, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hrefs FROM u),
   l AS (SELECT page_id, host, path, unnest(range(len(hrefs)))::INT AS pos, unnest(hrefs) AS href FROM h),
-  links AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN NULL WHEN starts_with(href, '/') THEN regexp_extract(href, '^[^?#]*')
-    ELSE regexp_replace(path, '[^/]*$', '') || regexp_extract(href, '^[^?#]*') END AS target FROM l)"""
+  full_links AS (SELECT *, CASE WHEN regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:|//)') THEN NULL WHEN starts_with(href, '/') THEN regexp_extract(href, '^[^?#]*')
+    WHEN regexp_matches(href, '^($|[?#])') THEN path WHEN path = '' THEN '/' || regexp_extract(href, '^[^?#]*') ELSE regexp_replace(path, '[^/]*$', '') || regexp_extract(href, '^[^?#]*') END AS whole FROM l),
+  links AS (SELECT page_id, host, path, pos, href, array_to_string(list_reduce(list_transform(string_split(CASE WHEN regexp_matches(whole, '/[.][.]?$') THEN whole || '/' ELSE whole END, '/'), lambda s: [s]),
+    lambda done, s: CASE WHEN s[1] = '..' THEN CASE WHEN len(done) > 1 THEN done[:-2] ELSE done END WHEN s[1] = '.' THEN done ELSE list_concat(done, s) END), '/') AS target FROM full_links)"""
 )
