@@ -1,18 +1,22 @@
 """Chat formatting with schema fingerprints, in DataFrame functions alone.
 
-A record is a JSON text of any layout. Its nested field paths (types left out)
-are hashed to a fingerprint, which selects a declarative mapping from that
-layout to canonical turns, an array of (role, text). Turns are then written in a
+A record is a JSON text of any layout. Its nested field paths (types left out,
+and fields that no mapping knows) are hashed to a fingerprint, which selects a
+declarative mapping from that layout to canonical turns, an array of (role,
+text). Turns are then written in a
 template of control strings; control strings that occur inside a text get a
 backslash, which reading takes away again, so that any text survives. The loss
 mask is a list of spans of the formatted text.
 
-Defined cases: null roles and texts are empty; a record whose fingerprint no
-mapping has, and one that is not JSON, has null turns and null output; one of
+Defined cases: null roles and texts are empty; fields beside those of a layout do
+not matter, unless they nest deeper than ``NESTED`` levels; a record whose
+fingerprint no mapping has, and one that is not JSON, has null turns and null
+output (``layout_counts`` tells how many); one of
 ``LARGE`` bytes or more that cannot be parsed is an error, for a limit of the
 parser cannot be told from bad JSON there; a record without turns is the empty text; repeated records are formatted each for itself;
 an empty table gives an empty result; other columns pass through, but for those
-with the names of new columns, which are replaced.
+with the names of new columns and ``__variant``, ``__pieces``, ``__text``, which
+are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ CONTROL = r"\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|/?s>|/?INS
 TURNS = "array<struct<role:string,text:string>>"
 #: Bytes of a JSON text from which the limits of a variant (128 MB) or of its parser may be met.
 LARGE = 16 << 20
+#: Levels of unknown nested fields that are left out of a fingerprint.
+NESTED = 8
 
 
 @dataclass(frozen=True)
@@ -39,8 +45,9 @@ class Layout:
     turns: str
 
 
-def _messages(name: str, field: str, role: str, text: str) -> list[Layout]:
-    roles = "CASE m.{0} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' ELSE m.{0} END".format(role)
+def _messages(name: str, field: str, role: str, text: str, renamed: bool = False) -> list[Layout]:
+    """A list of messages; ``renamed`` layouts call the roles human, gpt or bot."""
+    roles = f"CASE m.{role} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' ELSE m.{role} END" if renamed else f"m.{role}"
     first, second = sorted((role, text))
     sql = f"transform(try_variant_get(__variant, '$.{field}', 'array<struct<{role}:string,{text}:string>>'), m -> struct({roles} AS role, m.{text} AS text))"
     return [
@@ -58,7 +65,7 @@ def _pair(name: str, question: str, answer: str) -> Layout:
 LAYOUTS = (
     *_messages("turns", "turns", "role", "text"),
     *_messages("messages", "messages", "role", "content"),
-    *_messages("conversations", "conversations", "from", "value"),
+    *_messages("conversations", "conversations", "from", "value", renamed=True),
     _pair("prompt_completion", "prompt", "completion"),
     _pair("prompt_response", "prompt", "response"),
     _pair("question_answer", "question", "answer"),
@@ -72,11 +79,22 @@ LAYOUTS = (
 )
 
 
+#: Field names that some layout has.
+KNOWN = ("turns", "messages", "conversations", "role", "text", "content", "from", "value", "prompt", "completion", "response", "question", "answer", "instruction", "input", "output")
+_NAME = "(?:`[^`]*`|[^<>,:` ]+)"
+_OTHER = f"(?<=[<, ])(?!(?:{'|'.join(KNOWN)})[,>:])"
+
+
 def field_paths(record: Column) -> Column:
-    """The nested field names of a JSON text with their nesting, without the types of leaves."""
+    """The nested names of the fields of a JSON text that some layout knows, without the types of leaves."""
     schema = F.schema_of_variant(F.try_parse_json(record))
     leafless = F.regexp_replace(schema, r": [A-Z_ ]+(\([0-9, ]+\))?(?=[,>])", "")
-    return F.regexp_replace(leafless, r"ARRAY<[A-Z_ ]+(\([0-9, ]+\))?>", "ARRAY<>")
+    paths = F.regexp_replace(leafless, r"ARRAY<[A-Z_ ]+(\([0-9, ]+\))?>", "ARRAY<>")
+    for _ in range(NESTED):  # unknown containers, from the inside
+        paths = F.regexp_replace(paths, rf"{_OTHER}({_NAME}): (?:ARRAY|OBJECT)<[^<>]*>", "$1")
+        paths = F.regexp_replace(paths, rf"{_OTHER}({_NAME}): ARRAY<OBJECT<[^<>]*>>", "$1")
+    paths = F.regexp_replace(paths, rf"{_OTHER}{_NAME}(?:, |(?=>))", "")
+    return F.regexp_replace(paths, ", >", ">")
 
 
 def fingerprint(paths: Column) -> Column:
@@ -96,6 +114,14 @@ def canonical_turns(records: DataFrame, record_col: str, layouts: tuple[Layout,
     return found.withColumn("__variant", variant).withColumn("turns", turns).drop("__variant").withColumn("turns", full)
 
 
+def layout_counts(found: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """``(layout, n)``: how many records of ``canonical_turns`` each layout took; null for those that none did."""
+    name = F.lit(None).cast("string")
+    for layout in layouts:
+        name = F.when(F.col("layout_fingerprint") == fingerprint(F.lit(layout.paths)), layout.name).otherwise(name)
+    return found.groupBy(name.alias("layout")).agg(F.count("*").alias("n"))
+
+
 def escape(text: Column) -> Column:
     """One backslash more after the first character of every control string."""
     return F.regexp_replace(text, rf"([<\[])(\\*)({CONTROL})", r"$1\\$2$3")
@@ -157,13 +183,20 @@ def records_of_rows(rows: DataFrame, conv_col: str, turn_col: str, role_col: str
     return rows.groupBy(F.col(conv_col).alias("conversation")).agg(F.to_json(F.struct(turns.alias("turns"))).alias("record"))
 
 
+def record_of_row(key: Column, role: Column, text: Column) -> Column:
+    """One row as a JSON record in one of the list layouts, by a hash of its conversation; layouts that rename roles take none of those."""
+    layout = F.pmod(F.xxhash64(key), F.lit(3))
+    lists = [F.struct(key.cast("string").alias("id"), F.array(F.struct(role.alias(r), text.alias(t))).alias(field)) for field, r, t in (("turns", "role", "text"), ("messages", "role", "content"), ("conversations", "from", "value"))]
+    renamed = role.isin("human", "gpt", "bot")
+    return F.when((layout == 2) & ~renamed, F.to_json(lists[2])).when(layout == 1, F.to_json(lists[1])).otherwise(F.to_json(lists[0]))
+
+
 def turns_of_rows(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """``(conversation, turns)``: each row is a record of layout ``turns`` with one turn and is
+    """``(conversation, turns)``: each row is a record with one turn, in one of several layouts, and is
     parsed by itself, so that the limits of a variant bind a turn and not a conversation;
     a conversation's turns are put together after that, by turn, ties by role and text."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    one = F.struct(F.array(F.struct(empty(role_col).alias("role"), empty(text_col).alias("text"))).alias("turns"))
-    records = rows.select(F.col(conv_col).alias("conversation"), F.col(turn_col).alias("turn"), F.to_json(one).alias("record"))
+    records = rows.select(F.col(conv_col).alias("conversation"), F.col(turn_col).alias("turn"), record_of_row(F.col(conv_col), empty(role_col), empty(text_col)).alias("record"))
     row = canonical_turns(records, "record").select("conversation", F.struct("turn", F.col("turns")[0]["role"].alias("role"), F.col("turns")[0]["text"].alias("text")).alias("row"))
     turns = F.transform(F.array_sort(F.collect_list("row")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return row.groupBy("conversation").agg(turns.alias("turns"))

@@ -87,6 +87,35 @@ def test_layouts_give_the_same_turns(spark):
     assert all(out[i].turns is None and out[i].formatted is None for i in (6, 7, 8)) and out[9].formatted == ""
 
 
+def test_unknown_fields_do_not_lose_a_record(spark):
+    import json
+
+    turns = [("user", "hi"), ("assistant", "yes")]
+    records = [
+        {"id": 7, "prompt": "hi", "completion": "yes", "source": "web", "tags": ["a", "b"]},
+        {"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yes", "weight": 1, "meta": {"deep": {"deeper": [1]}}}], "meta": {"prompt-id": 3, "x": [{"y": {"z": 1}}]}},
+        {"id": "a", "conversations": [{"from": "human", "value": "hi", "id": None}, {"from": "gpt", "value": "yes"}], "odd name": {"k": []}},
+        {"aaa": {}, "instruction": "hi", "zzz": 1.5, "output": "yes", "input": ""},
+        {"turns": [{"role": "human", "text": "hi"}]},
+        {"unknown": [{"who": "user", "said": "hi"}]},
+        {},
+    ]
+    found = chat.canonical_turns(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i int, record string"), "record")
+    got = {r.i: r.turns and [tuple(t) for t in r.turns] for r in found.collect()}
+    assert all(got[i] == turns for i in range(4)), got
+    assert got[4] == [("human", "hi")] and got[5] is None and got[6] is None
+    assert {r.layout: r.n for r in chat.layout_counts(found).collect()} == {"prompt_completion": 1, "messages": 1, "conversations": 1, "instruction_input_output": 1, "turns": 1, None: 2}
+    assert chat.format_turns(found.limit(0)).count() == 0
+
+
+def test_rows_use_several_layouts(spark):
+    rows = spark.createDataFrame([(i, 0, role, "x" * n) for i, (role, n) in enumerate([("user", 3), ("human", 2), ("bot", 0), ("gpt", 300_000)] * 6)], "c long, t long, r string, x string")
+    records = rows.select("c", "r", "x", chat.record_of_row(F.col("c"), F.col("r"), F.col("x")).alias("record"))
+    found = chat.canonical_turns(records, "record")
+    assert {r.layout for r in chat.layout_counts(found).collect()} == {"turns", "messages", "conversations"}
+    assert all([tuple(t) for t in r.turns] == [(r.r, r.x)] for r in found.collect())
+
+
 def test_rows_with_nulls(spark):
     df = spark.createDataFrame([(1, 1, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, "x\ny", "z")], "c long, t long, r string, x string")
     recs = chat.records_of_rows(df, "c", "t", "r", "x")
