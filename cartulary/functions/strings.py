@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,13 +68,18 @@ def pseudo(text: Column) -> Column:
 
 
 def match_ranges(text: Column, asked: Column) -> Column:
-    """``array<struct<start, end>>``: where ``asked`` occurs in ``text`` in either case, without overlap; none for an empty one.
-
-    Starts follow from the lengths of the parts between the matches.
-    """
-    parts = F.transform(F.split(F.lower(text), F.concat(F.lit("\\Q"), F.lower(asked), F.lit("\\E")), -1), lambda p: F.length(p).cast("long"))
-    n = F.length(asked).cast("long")
-    start = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0).cast("long"), lambda s, p: s + p + n) - n
-    found = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(start(i).alias("start"), (start(i) + n).alias("end")))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return F.when((F.length(asked) > 0) & (F.size(parts) > 1), found).otherwise(none)
+    """``array<struct<start, end>>``: where ``asked`` occurs in ``text`` in either case, without overlap; none for an empty one or a null."""
+
+    @F.pandas_udf("array<struct<start:bigint,end:bigint>>")
+    def ranges(texts: pd.Series, words: pd.Series) -> pd.Series:
+        out = []
+        for t, w in zip(texts, words):
+            found, t, w = [], (t or "").lower(), (w or "").lower()
+            at = t.find(w) if w else -1
+            while at >= 0:
+                found.append({"start": at, "end": at + len(w)})
+                at = t.find(w, at + len(w))
+            out.append(found)
+        return pd.Series(out)
+
+    return ranges(text, asked)

@@ -54,9 +54,10 @@ def substring_rank(docs: DataFrame, id_col: str, text_col: str, terms: list[str]
 
 def entropy(token: Column) -> Column:
     """Shannon entropy of a text's characters in bits, to two places, halves up."""
-    chars = F.filter(F.split(token, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - (F.size(F.filter(chars, lambda d: d == c)) / n) * F.log2(F.size(F.filter(chars, lambda d: d == c)) / n))
+    chars = F.array_distinct(F.filter(F.split(token, ""), lambda c: c != ""))
+    n = F.length(token)
+    share = lambda c: (n - F.length(F.replace(token, c, F.lit("")))) / n.cast("double")
+    bits = F.aggregate(F.transform(chars, share), F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return numbers.half_up(bits, 2)
 
 
@@ -66,9 +67,14 @@ def high_entropy_tokens(docs: DataFrame, id_col: str, text_col: str, length: int
     return found.withColumn("bits", entropy(F.col("token"))).where(F.col("bits") >= bits)
 
 
+#: What a text or line must hold for any rule to match, told by one pass that never looks back.
+POLICY_HINT = r"@|-----BEGIN|AKIA|password|secret|token|api_?key|[0-9]{4}[ -]?[0-9]{4}|[+][0-9]"
+
+
 def policy_findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, line, kind)``: at most one finding a line, of the first rule that matches; values are not kept."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text"))
+    hinted = docs.where(F.col(text_col).rlike(POLICY_HINT))
+    lines = hinted.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text")).where(F.col("text").rlike(POLICY_HINT))
     kind = F.lit(None).cast("string")
     for name, rule in reversed(POLICY_RULES):
         kind = F.when(F.col("text").rlike(rule), name).otherwise(kind)
@@ -76,13 +82,19 @@ def policy_findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def readability(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, words, sentences, syllables, grade)``: Flesch-Kincaid grade to one place."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), "[^a-z]+"), lambda w: w != "")
+    """``(id, words, sentences, syllables, grade)``: Flesch-Kincaid grade to one place.
+
+    Syllables of a word are its vowel runs without one final e, one at least:
+    counted over the whole text, and one more for each word without any.
+    """
+    low = F.lower(F.col(text_col))
+    runs = F.regexp_count(F.regexp_replace(low, "e(?![a-z])", ""), F.lit("[aeiouy]+"))
+    without = F.regexp_count(low, F.lit("(?<![a-z])(?:[bcdfghjklmnpqrstvwxz]+e?|e)(?![a-z])"))
     counts = docs.select(
         F.col(id_col).alias("id"),
-        F.size(words).cast("long").alias("words"),
-        F.greatest(F.lit(1), F.size(F.filter(F.split(F.col(text_col), "[.!?]+"), lambda s: s.rlike("[A-Za-z]")))).cast("long").alias("sentences"),
-        F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + numbers.syllables(w)).alias("syllables"),
+        F.regexp_count(low, F.lit("[a-z]+")).cast("long").alias("words"),
+        F.greatest(F.lit(1), F.regexp_count(F.col(text_col), F.lit("[A-Za-z][^.!?]*"))).cast("long").alias("sentences"),
+        (runs + without).cast("long").alias("syllables"),
     ).where("words > 0")
     return counts.withColumn("grade", numbers.half_up(0.39 * F.col("words") / F.col("sentences") + 11.8 * F.col("syllables") / F.col("words") - 15.59, 1))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, urls
+from ..functions.arrays import let
 from ..operators import analyzers, learning, markup, text
 from ..sources.tables import LINKS_SQL, PAGES_SQL, page_links, page_urls, table
 from .catalog import query
@@ -86,9 +87,10 @@ def scrape_emails_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a, b, floor(c::DOUBLE / (n + m - c) * 100 + 0.5) / 100 AS similarity FROM p WHERE floor(c::DOUBLE / (n + m - c) * 100 + 0.5) / 100 >= 0.6""")
 def r27_tag_bigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of page skeletons with alike tag bigrams; pages with the same set are one skeleton."""
-    tags = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)")).alias("tags"))
-    grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tags") - 1), lambda i: F.concat(F.element_at("tags", i), F.lit(" "), F.element_at("tags", i + 1)))))
-    reps = tags.where(F.size("tags") > 1).groupBy(grams.alias("grams")).agg(F.min("page_id").alias("id"))
+    tags = F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"))
+    pairs = let(tags, lambda t: F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda x, y: F.concat(x, F.lit(" "), y)))
+    pages = table(spark, sf_dir, "pages").where(F.regexp_count("html", F.lit("<[a-z]")) > 1)
+    reps = pages.groupBy(F.array_sort(F.array_distinct(pairs)).alias("grams")).agg(F.min("page_id").alias("id"))
     return text.set_similarity(reps, "id", "grams")
 
 

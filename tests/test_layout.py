@@ -20,3 +20,11 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op1_') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_a_missing_library_is_not_taken_for_the_subpackage(tmp_path):
+    shutil.copytree(ROOT / "cartulary", tmp_path / "cartulary", ignore=lambda d, names: [n for n in names if n in ("llm", "__pycache__")])
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_library\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode and "no_such_library" in done.stderr
