@@ -8,8 +8,10 @@ the difference of the two Mahalanobis log-densities plus the log prior odds.
 Defined cases: null and empty texts have the statistics of an empty text and are
 scored like any other; label rows whose label is neither 0 nor 1, or without a
 document, are not learned from; repeated rows count as often as they occur; if a
-class has no labelled document, every score is 0.5; an empty table gives an
-empty result.
+class has no labelled document, every score is 0.5; a score equal to the
+threshold keeps a document; very long texts are read whole; an empty table gives
+an empty result; only id, text and label columns are read, and scores are a
+column expression, so other columns and their names do not matter.
 """
 
 from __future__ import annotations

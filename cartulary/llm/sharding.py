@@ -12,8 +12,10 @@ The law is ``key``: id and shard count decide. Slots are gapless in each shard;
 they are counted by hash buckets of a shard, so that no task has a whole shard.
 
 Defined cases: a null id draws like the text "null"; a null text has no bytes;
-repeated rows go to the same shard and get slots of their own; an empty table
-gives an empty result.
+repeated rows go to the same shard and get slots of their own, in any order;
+equal draws go to the child whose name comes first; texts of any length count
+whole; an empty table gives an empty result; only the id and text columns are
+read, so other columns and their names do not matter.
 """
 
 from __future__ import annotations

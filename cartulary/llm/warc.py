@@ -15,7 +15,9 @@ Content-Length, and its payload's SHA-256 is compared with the header's.
 Defined cases: a null or empty payload is an empty response; payloads of fewer
 bytes than ``least`` are never revisits; rows with the same smallest id are all
 responses; a null id counts as larger than any and is refers_to of none; null
-URLs are left out of the header; an empty table gives an empty result.
+URLs are left out of the header; payloads of any length are written whole and
+must fit a row of Spark; an empty table gives an empty result; only the id, URL
+and payload columns are read, so other columns and their names do not matter.
 """
 
 from __future__ import annotations

@@ -172,6 +172,11 @@ def test_sharding_edges(spark):
     rows = sharding.assign_shards(frame(spark, [(None, None), (None, None), (5, "")]), sharding.hash_tree()).collect()
     assert len(rows) == 3 and all(r.size == 16 and r.text_crc32 == 0 for r in rows)
     assert sharding.assign_shards(frame(spark, []), sharding.hash_tree()).count() == 0
+    clash = frame(spark, [(1, "é" * 300_000), (1, "é" * 300_000)])
+    for name in ("id", "size", "shard", "slot", "bucket", "grown_shard", "text_crc32"):
+        clash = clash.withColumn(name, F.lit("clash"))
+    two = sharding.assign_shards(clash, sharding.hash_tree()).collect()
+    assert sorted(r.slot for r in two) == [0, 1] and {(r.size, r.text_crc32) for r in two} == {(600_016, zlib.crc32(("é" * 300_000).encode()))}
 
 
 # WARC
@@ -257,6 +262,49 @@ def test_quality_on_the_held_out_fold(spark):
     assert len(scored) > 30 and right / len(scored) > 0.95
 
 
+def slow_statistics(text):
+    """The classifier's statistics, worked out letter by letter."""
+    import math
+
+    raw = list(text.encode())
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    lengths = [len(w) for w in words]
+    share = lambda a, b: math.log((a + 0.5) / (b + 1.0))
+    mean = sum(lengths) / len(lengths) if words else 0.0
+    spread = math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths)) if words else 0.0
+    kinds = [lambda c: 65 <= c <= 90, lambda c: 48 <= c <= 57, lambda c: chr(c) in "#$%&*@^~+=<>\\/_`", lambda c: chr(c) in "|[]{}()", lambda c: chr(c) in "!?", lambda c: chr(c) in ".;:", lambda c: c == 44, lambda c: c >= 128]
+    once = set(words)
+    return [
+        math.log(1 + len(text)), math.log(1 + len(words)), math.sqrt(mean), math.sqrt(spread), *(math.log((sum(map(k, raw)) + 0.5) / (max(1, len(raw)) + 50)) for k in kinds),
+        share(len(once), len(words)) / math.log(len(words) + 3), share(sum(words[i] == words[i + 1] for i in range(len(words) - 1)), len(words)), share(max((words.count(w) for w in once), default=0), len(words)),
+        math.log(1 + len(text) / max(1, len(lines))), share(len(lines) - len(set(lines)), len(lines)), -sum(raw.count(b) / len(raw) * math.log2(raw.count(b) / len(raw)) for b in set(raw)) if raw else 0.0, share(sum(w.isalpha() for w in once), len(once)),
+    ]
+
+
+def test_scores_are_those_of_a_plain_discriminant(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet").dropna(subset=["quality"])
+    text = {i: t for i, t in zip(docs.doc_id.tolist(), docs.text.tolist()) if isinstance(t, str) and len(t) < 4000}
+    known = [(i, int(q)) for i, q in zip(labels.doc_id.tolist(), labels.quality.tolist()) if i in text and zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([slow_statistics(text[i]) for i, _ in known]), np.array([q for _, q in known])
+    pooled = sum(np.cov(x[y == c].T, ddof=0) * (y == c).sum() for c in (0, 1)) / (len(y) - 2)
+    target = 0.95 * pooled + 0.05 * np.diag(np.diag(pooled)) + 1e-4 * np.eye(x.shape[1])
+
+    def density(v, c):
+        mine = x[y == c]
+        weight = max(0.2, x.shape[1] / (x.shape[1] + len(mine)))
+        cov = (1 - weight) * np.cov(mine.T) + weight * target
+        z = v - mine.mean(axis=0)
+        return np.log(len(mine) / len(y)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * z @ np.linalg.solve(cov, z)
+
+    some = list(text.items())[:150] + [(-1, "")]
+    want = {i: 1 / (1 + np.exp(min(700, density(np.array(slow_statistics(t)), 0) - density(np.array(slow_statistics(t)), 1)))) for i, t in some}
+    df = frame(spark, list(text.items()))
+    model = quality.fit(df, spark.createDataFrame(labels[["doc_id", "quality"]]))
+    got = {r.doc_id: r.s for r in frame(spark, some).select("doc_id", quality.quality_score("text", model).alias("s")).collect()}
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
 def test_quality_edges(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "x " * 200_000), (None, "a"), (3, "again")])
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
