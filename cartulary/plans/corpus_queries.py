@@ -277,7 +277,8 @@ def ml_softmax_layernorm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.array_max(learning.softmax(v)), 6).alias("top"), F.round(spread, 6).alias("spread"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings), p AS (SELECT q.vec_id, k.v, list_dot_product(q.v, k.v) / sqrt(len(q.v)) AS s FROM e q JOIN e k ON q.label IS NOT DISTINCT FROM k.label AND k.rn BETWEEN q.rn - 8 AND q.rn),
+  m AS (SELECT vec_id, max(s) AS most FROM p GROUP BY 1), w AS (SELECT vec_id, v, exp(s - most) AS e FROM p JOIN m USING (vec_id)) SELECT vec_id, count(*)::INT AS n, round(max(e) / sum(e), 6) AS top, round(sum(e * list_sum(v)) / sum(e), 6) AS total FROM w GROUP BY 1""")
 def ml_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Self-attention of each vector over up to eight before it of its label."""
     out = learning.attention(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 8)

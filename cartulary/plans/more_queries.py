@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, greedy
@@ -95,12 +95,18 @@ def r64_error_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(good).alias("ok"), F.count_if(~good).alias("failed"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT p_brand AS g, p_retailprice AS v, count(*) AS n FROM part GROUP BY 1, 2), f(g, first) AS (SELECT g, min(v) FROM d GROUP BY 1 UNION ALL SELECT f.g, (SELECT min(v) FROM d WHERE d.g = f.g AND v > first + 2) FROM f WHERE EXISTS (SELECT 1 FROM d WHERE d.g = f.g AND v > first + 2)),
+  b AS (SELECT g, first, row_number() OVER (PARTITION BY g ORDER BY first) - 1 AS bucket FROM f), j AS (SELECT d.g, bucket, sum(n) AS n, sum(v * n) / sum(n) AS mean FROM d JOIN b ON d.g = b.g AND v BETWEEN first AND first + 2 GROUP BY 1, 2)
+  SELECT g AS "group", bucket, n::BIGINT AS n, round(mean, 4) AS mean FROM j WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY g ORDER BY bucket) <= 7""")
 def r66_tolerance_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices of each brand in buckets within two of the first, with their means."""
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), F.col("p_retailprice").alias("value"))
-    b = greedy.ordered_pass(p, "group", ["value"], greedy.tolerance_step(2.0), "group string, value double, bucket long")
-    return b.groupBy("group", "bucket").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")).where("n >= 2")
+    """Prices of each brand in buckets within two of the first, with their means: the first seven buckets of two or more.
+
+    The ordered pass sees each distinct price once, with its count.
+    """
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("group"), F.col("p_retailprice").alias("value")).agg(F.count("*").alias("k"))
+    b = greedy.ordered_pass(p, "group", ["value"], greedy.tolerance_step(2.0), "group string, value double, bucket long").join(p, ["group", "value"])
+    means = b.groupBy("group", "bucket").agg(F.sum("k").alias("n"), F.round(F.sum(F.col("value") * F.col("k")) / F.sum("k"), 4).alias("mean")).where("n >= 2")
+    return means.withColumn("_at", F.row_number().over(Window.partitionBy("group").orderBy("bucket"))).where("_at <= 7").drop("_at")
 
 
 @query(f"WITH {CALLS_SQL} SELECT regexp_extract(regexp_replace(path, '^/api/v1', ''), '^/([a-z]+)/', 1) AS route, count(*) AS n, count(DISTINCT user_id) AS users FROM calls GROUP BY 1")
@@ -143,9 +149,12 @@ def r74_raster_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def r79_role_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names of a brand take roles in order, each role once."""
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), F.col("p_name").alias("name"), "p_partkey")
     hints = {"surface": "ring", "ink": "red", "accent": "blue", "muted": "small"}
-    return greedy.ordered_pass(p, "group", ["p_partkey"], greedy.role_step(hints), "group string, name string, role string").where("role is not null")
+    # only names with a hint can take a role, and of names with the same hints no more than there are roles
+    held = F.filter(F.array(*map(F.lit, hints.values())), lambda h: F.contains("p_name", h))
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), F.col("p_name").alias("name"), "p_partkey", held.alias("_held")).where("size(_held) > 0")
+    first = p.withColumn("_at", F.row_number().over(Window.partitionBy("group", "_held").orderBy("p_partkey"))).where(F.col("_at") <= len(hints)).drop("_held", "_at")
+    return greedy.ordered_pass(first, "group", ["p_partkey"], greedy.role_step(hints), "group string, name string, role string").where("role is not null")
 
 
 @query(f"""WITH {LINKS_SQL}, f AS (SELECT host, path AS spot, 0 AS source FROM u UNION ALL SELECT host, target, 1 FROM links WHERE target IS NOT NULL) SELECT host, spot, min(source)::INT AS source, count(*) AS mentions FROM f GROUP BY 1, 2""")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: list[str] = []
+_KEPT_UNTIL_EXIT: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share; all of an
+    application's lie in one folder, which goes when the driver's Python ends.
 
     Where the setting is missing, a local master (tests) gets one temporary
     folder of its own; a real cluster must name a shared folder.
@@ -23,7 +26,16 @@ def scratch_dir(spark: SparkSession) -> str:
         if not _LOCAL_SCRATCH:
             _LOCAL_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="spark-cartulary-"))
         base = _LOCAL_SCRATCH[0]
-    return f"{base.rstrip('/')}/cartulary-{uuid.uuid4().hex}"
+    home = f"{base.rstrip('/')}/cartulary-{spark.sparkContext.applicationId}"
+    if home not in _KEPT_UNTIL_EXIT:
+        _KEPT_UNTIL_EXIT.add(home)
+        atexit.register(_drop_home, spark, home)
+    return f"{home}/{uuid.uuid4().hex}"
+
+
+def _drop_home(spark: SparkSession, home: str) -> None:
+    if spark.sparkContext._jsc is not None:  # the session has not been stopped before
+        drop_path(spark, home)
 
 
 def materialize(df: DataFrame) -> DataFrame:
