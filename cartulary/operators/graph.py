@@ -15,18 +15,20 @@ def redirect_closure(hops: DataFrame, source: str = "src", target: str = "dst")
     """``(src, dst, cyclic)``: where each source ends; of several hops of a source the smallest target counts.
 
     Pointer doubling: each round joins the map with itself, so chains of length
-    n take log n rounds. When more hops are covered than there are sources, what
-    still rests on a source is in a cycle or leads into one.
+    n take log n rounds. A chain has a source at every distance from its end, so
+    while any chain is open the number of sources that still move falls each
+    round; once it does not, what still rests on a source is in a cycle or leads
+    into one.
     """
     one = materialize(hops.groupBy(F.col(source).alias("src")).agg(F.min(target).alias("dst")))
-    sources, covered, now = one.count(), 1, one
-    while covered <= sources:
+    moving, now = None, one
+    while True:
         far = now.select(F.col("src").alias("via"), F.col("dst").alias("far"))
         now = materialize(now.join(far, F.col("dst") == F.col("via"), "left").select("src", F.coalesce("far", "dst").alias("dst"), F.col("via").isNotNull().alias("moved")))
-        covered *= 2
-        if not now.where("moved").limit(1).count():
-            break
+        before, moving = moving, now.where("moved").count()
         now = now.drop("moved")
+        if moving in (0, before):
+            break
     known = one.select(F.col("src").alias("known"))
     return now.join(known, F.col("dst") == F.col("known"), "left").select("src", "dst", F.col("known").isNotNull().alias("cyclic"))
 

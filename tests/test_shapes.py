@@ -47,6 +47,10 @@ def test_hops(spark):
     got = {r.start: (r.end, r.hops) for r in shapes.resolve_hops(spark.createDataFrame([(i,) for i in (10, 9, 20, 100, 200, 300, 555, 10)], "s int"), hops).collect()}
     assert got == {10: (20, 10), 9: (9, None), 20: (20, 0), 100: (100, None), 200: (200, None), 300: (300, None), 555: (555, 0)}
     closed = {r.src: (r.dst, r.cyclic) for r in graph.redirect_closure(hops).collect()}
+    lone = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(500, 501), (501, 500), (502, 500)], "src int, dst int")
+    ends = {r.src: (None if r.cyclic else r.dst) for r in graph.redirect_closure(lone).collect()}
+    assert ends == {**{i: 70 for i in range(70)}, 500: None, 501: None, 502: None}
+    assert graph.redirect_closure(lone.limit(0)).count() == 0
     assert closed[300] == (20, False) and closed[0] == (20, False) and closed[100][1] and len(closed) == 24
 
 
