@@ -26,6 +26,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -45,8 +47,8 @@ SHARD_IDS = 1 << 22
 #: Ids that one partition holds, about.
 PARTITION_IDS = 1 << 26
 K1, B = 1.2, 0.75
-#: Distinct words, and chunks of other texts, whose ids a worker remembers.
-CACHE_WORDS, CACHE_CHUNKS = 600_000, 100_000
+#: Distinct words, characters of these, and chunks of other texts, whose ids a worker remembers.
+CACHE_WORDS, CACHE_CHARS, CACHE_CHUNKS = 400_000, 16 << 20, 100_000
 #: Characters that are tokenised in one step.
 STEP_CHARS = 6 << 20
 
@@ -64,6 +66,18 @@ _APART = "([^a-zªµºß-öø-ÿ0-9²³¹¼½¾\\s\u00a0]+|[0-9²³¹¼½¾])"
 WORD_END = "</w>"
 
 
+@lru_cache(maxsize=1)
+def _tokenizers(path: str) -> tuple:
+    """The tokenizer, one for words that are set apart and in lower case already, and which ids end a word; loaded once in a worker."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer = None
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    size = whole.get_vocab_size(with_added_tokens=True)
+    return whole, plain, np.array([(whole.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
+
+
 class WordTokenizer:
     """Ids of a text by its words, whose ids do not depend on their neighbours.
 
@@ -74,48 +88,67 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        #: For words that are set apart and in lower case already.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.tokenizer, self.plain, self.ends = _tokenizers(path)
+        #: Places of known words in the pool of their ids, in its order; the first is the empty word, which has none.
+        self.known: dict[str, int] = {"": 0}
+        self.pool, self.stops = np.zeros(0, dtype="<u2"), np.zeros(1, dtype=np.int64)
+        #: Steps that met each known word.
+        self.met = np.zeros(1, dtype=np.int64)
+        self.chars = 0
         self.strange: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2")
 
-    def of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words; many unknown ones in one call, in which each word's last id says where the next begins."""
-        if len(self.known) > CACHE_WORDS // 2:  # the older half goes, but for words that are met again
-            self.older, self.known = self.known, {}
-        found = list(map(self.known.get, words))
-        fresh = []
-        for i in [i for i, x in enumerate(found) if x is None]:
-            found[i] = self.older.get(words[i])
-            if found[i] is None:
-                fresh.append(words[i])
-            else:
-                self.known[words[i]] = found[i]
-        for a in range(0, len(fresh), 4096):
-            part = fresh[a : a + 4096]
-            (e,) = self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u2")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and "" not in part:
-                raw, at = ids.tobytes(), 0
-                for word, cut in zip(part, (2 * cuts).tolist()):
-                    self.known[word] = raw[at:cut]
-                    at = cut
-            else:
-                for word in part:
-                    self.known[word] = self.ids(word).tobytes()
-        return [self.known[w] if x is None else x for w, x in zip(words, found)]
+    def of_fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in one call, and where each word's end: its last id tells."""
+        (e,) = self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(e.ids, dtype="<u2")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            each = [self.ids(w) for w in words]
+            ids, stops = np.concatenate(each), np.cumsum(list(map(len, each)))
+        return ids, stops
+
+    def forget(self) -> None:
+        """Keep the words that more than one step met, unless they are too many themselves."""
+        keep = self.met > 1
+        if np.count_nonzero(keep) > CACHE_WORDS // 2:
+            keep[:] = False
+        keep[0] = True
+        kept = self.listed().filter(pa.array(keep))
+        words = list(compress(self.known, keep.tolist()))
+        self.known, self.met, self.chars = dict(zip(words, range(len(words)))), np.zeros(len(words), dtype=np.int64), sum(map(len, words))
+        self.pool, self.stops = np.asarray(kept.values), np.asarray(kept.offsets)[1:].astype(np.int64)
+        if self.chars > CACHE_CHARS // 2:
+            self.known, self.met, self.chars = {"": 0}, self.met[:1], 0
+            self.pool, self.stops = self.pool[:0], self.stops[:1]
+
+    def listed(self) -> pa.ListArray:
+        """The pool as a list of ids for each known word."""
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], self.stops)), pa.int32()), pa.array(self.pool, pa.uint16()))
+
+    def of_words(self, words: np.ndarray) -> np.ndarray:
+        """Places in the pool of distinct words; many unknown ones are tokenised in one call."""
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            self.forget()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = words[fresh].tolist()
+            at[fresh] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, at[fresh].tolist()))
+            self.chars += sum(map(len, new))
+            pool, stops, size = [self.pool], [self.stops], len(self.pool)
+            for a in range(0, len(new), 4096):
+                ids, ends = self.of_fresh(new[a : a + 4096])
+                pool.append(ids)
+                stops.append(ends + size)
+                size += len(ids)
+            self.pool, self.stops = np.concatenate(pool), np.concatenate(stops)
+            self.met = np.concatenate((self.met, np.zeros(len(new), dtype=np.int64)))
+        self.met[at] += 1
+        return at
 
     def other(self, text: str) -> bytes:
         """Ids of a text beyond Latin characters, or with something like a special token."""
@@ -131,12 +164,10 @@ class WordTokenizer:
         return b"".join(map(self.strange.__getitem__, chunks))
 
     def of_lists(self, lists: pa.ListArray) -> list[bytes]:
-        """Ids of texts given as lists of words; only distinct words are looked up, and ids are laid out by index."""
+        """Ids of texts given as lists of words; only distinct words are looked up, and ids are laid out by place."""
         coded = lists.flatten().dictionary_encode()
-        found = self.of_words(coded.dictionary.to_pylist())
-        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2)
-        pool = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype=np.uint16)))
-        by_word = pool.take(coded.indices)
+        at = self.of_words(coded.dictionary.to_numpy(zero_copy_only=False))
+        by_word = self.listed().take(pa.array(at[np.asarray(coded.indices)]))
         bounds = 2 * np.asarray(by_word.offsets)[np.asarray(lists.offsets) - lists.offsets[0].as_py()].astype(np.int64)
         raw = memoryview(np.asarray(by_word.values).tobytes())
         return [bytes(raw[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
