@@ -2,9 +2,11 @@
 
 Documents are tokenised once and kept as 16-bit ids. Corpus statistics (number
 of documents, mean length, document frequency of each vocabulary id) cover all
-documents and are bounded by the vocabulary. Documents are dealt out by a
-MinHash over their rarer ids, with the document id behind it, so that related
-texts meet in a partition and no key is too large to be divided. A partition is
+documents and are bounded by the vocabulary. Documents are dealt out by topic,
+then by a MinHash over their rarer ids, then by document id, so that related
+texts meet in a partition and no key is too large to be divided. Topics are
+centroids of random projections of the BM25 weights, fitted on a bounded sample
+(``SAMPLE`` documents, about); every document is projected whole. A partition is
 read as a run of shards of bounded size; each has its own inverted index. The
 first unused document is the seed, BM25 over all its terms ranks the unused
 rest of the shard, and these fill the window in that order, for as long as it is
@@ -17,7 +19,7 @@ cut into powers of two, which need no padding.
 Defined cases: a null or empty text is the end id alone; repeated rows are
 packed each for itself; a text longer than a window fills several; an empty
 table gives an empty result; of neighbours whose scores agree to two decimals the
-earlier in the shard's order (MinHash, then id) goes first; only the id and text columns are
+earlier in the shard's order (topic, MinHash, then id) goes first; only the id and text columns are
 read, so other columns and their names do not matter.
 """
 
@@ -46,7 +48,11 @@ VOCABULARY = 1 << 16
 SHARD_IDS = 1 << 22
 #: Ids that one partition holds, about.
 PARTITION_IDS = 1 << 26
+#: Ids that one partition holds at least, about, if the table has as many.
+LEAST_IDS = 1 << 21
 K1, B = 1.2, 0.75
+#: Documents, about, on whose sketches the topics are fitted; topics; numbers in a sketch.
+SAMPLE, TOPICS, SKETCH = 4096, 256, 64
 #: Distinct words, characters of these, and chunks of other texts, whose ids a worker remembers.
 CACHE_WORDS, CACHE_CHARS, CACHE_CHUNKS = 400_000, 16 << 20, 100_000
 #: Characters that are tokenised in one step.
@@ -259,6 +265,69 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary, counts array<struct<term: int, n: long>>")
 
 
+def bm25(idf: np.ndarray, tf: np.ndarray, length: np.ndarray | int, mean: float) -> np.ndarray:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / np.float32(mean)))
+
+
+@lru_cache(maxsize=1)
+def _axes() -> np.ndarray:
+    """A random direction for each vocabulary id, the same in every worker."""
+    return np.clip(np.rint(32 * np.random.default_rng(1).standard_normal((VOCABULARY, SKETCH), dtype=np.float32)), -127, 127).astype(np.int8)
+
+
+def sketch(ids: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """A random projection of a whole document's BM25 weights: whole numbers below 2**35, so that sums are exact in any order."""
+    term, tf = distinct(ids)
+    return np.rint(64 * bm25(idf[term], tf.astype(np.float32), len(ids), mean)).astype(np.float64) @ _axes()[term].astype(np.float64)
+
+
+class Topics:
+    """Centroids of document sketches, in an order in which each is followed by its nearest of the rest.
+
+    Middle and centroids are whole numbers, and so are the products with
+    sketches (below 2**53): a repeated task finds the same topics again.
+    """
+
+    def __init__(self, sketches: np.ndarray, count: int = TOPICS, rounds: int = 10):
+        rows = np.unique(sketches, axis=0)  # copies count once
+        self.middle = np.rint(rows.mean(axis=0))
+        rows = unit(rows - self.middle)
+        centroids = rows[np.random.default_rng(0).choice(len(rows), min(count, len(rows)), replace=False)]
+        for _ in range(rounds):
+            nearest = np.argmax(rows @ centroids.T, axis=1)
+            for t in np.unique(nearest):
+                centroids[t] = rows[nearest == t].mean(axis=0)
+            centroids = unit(centroids)
+        rest, chain = np.ones(len(centroids), dtype=bool), [0]
+        while len(chain) < len(centroids):
+            rest[chain[-1]] = False
+            chain.append(int(np.argmax(np.where(rest, centroids @ centroids[chain[-1]], -np.inf))))
+        self.centroids = np.rint(1024 * centroids[chain])
+
+    def of(self, sketches: np.ndarray) -> np.ndarray:
+        """The topic of each document."""
+        return np.argmax((sketches - self.middle) @ self.centroids.T, axis=1)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+
+
+def fit_topics(tokens: DataFrame, idf: np.ndarray, docs: int, mean: float) -> Topics | None:
+    """Topics of a sample of about ``SAMPLE`` documents, chosen by a hash of id and ids; only their sketches reach the driver."""
+    share = min(1.0, SAMPLE / max(1, docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [sketch(np.frombuffer(raw, dtype="<u2"), idf, mean).tobytes() for raw in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["sketch"])
+
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", "ids"), 33) < int(share * (1 << 31))
+    found = tokens.where("ids is not null").where(drawn).select("ids").mapInArrow(run, "sketch binary").limit(2 * SAMPLE).toArrow()
+    rows = b"".join(found.column(0).to_pylist())
+    return Topics(np.frombuffer(rows, dtype=np.float64).reshape(-1, SKETCH)) if rows else None
+
+
 class Shard:
     """The BM25 inverted index of some documents, of which used ones drop out: whenever half are used, the index is cut to the rest.
 
@@ -273,7 +342,7 @@ class Shard:
         doc = np.repeat(np.arange(len(docs)), sizes)
         term, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
         length = np.fromiter(map(len, docs), dtype=np.float32, count=len(docs))[doc]
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / np.float32(mean)))
+        weight = bm25(idf[term], tf, length, mean)
         held = np.bincount(term, minlength=VOCABULARY)
         often = np.flatnonzero(held * 8 >= len(docs))
         row = np.full(VOCABULARY, -1)
@@ -411,14 +480,18 @@ def pack(tokens: DataFrame, window: int = WINDOW, shard_ids: int = SHARD_IDS) ->
     rare = (df > 0) & (df <= max(2, docs // 20))
     draw = (np.arange(VOCABULARY, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    topics = fit_topics(tokens, idf, docs, mean)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw, dtype="<u2")
-                some = ids[rare[ids]]
-                keys.append(int(draw[some if len(some) else ids].min()))
-            yield batch.assign(key=np.array(keys, dtype="int64"), doc_id=batch["doc_id"].astype("Int64"))
+            each = [np.frombuffer(raw, dtype="<u2") for raw in batch.column("ids").to_pylist()]
+            if not each:
+                continue
+            some = [ids[rare[ids]] for ids in each]
+            keys = np.array([draw[x if len(x) else ids].min() for x, ids in zip(some, each)], dtype=np.int64)
+            if topics is not None:
+                keys += topics.of(np.stack([sketch(ids, idf, mean) for ids in each])) << 31
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(keys)], ["doc_id", "ids", "key"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows = Windows(TaskContext.get().partitionId(), window)
@@ -439,8 +512,8 @@ def pack(tokens: DataFrame, window: int = WINDOW, shard_ids: int = SHARD_IDS) ->
         yield windows.take()
 
     shuffle = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(1, min(shuffle, docs), int(docs * mean) // PARTITION_IDS)
-    dealt = tokens.where("ids is not null").select("doc_id", "ids").mapInPandas(keyed, "doc_id long, ids binary, key long").repartitionByRange(partitions, "key", "doc_id")
+    partitions = max(1, min(shuffle, int(docs * mean) // LEAST_IDS), int(docs * mean) // PARTITION_IDS)
+    dealt = tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(keyed, "doc_id long, ids binary, key long").repartitionByRange(partitions, "key", "doc_id")
     return dealt.sortWithinPartitions("key", "doc_id").select("doc_id", "ids").mapInPandas(run, PIECES)
 
 

@@ -400,6 +400,41 @@ def test_packing_scores_all_terms_of_the_seed():
     assert [doc for doc, _ in window][:2] == [0, 2]
 
 
+def test_words_are_met_again_with_a_small_memory(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(["the", "Same!", f"w{rng.integers(300)}x", f"q{i}z", " "]) for i in range(120)] + ["", "  ", "x" * 5000, None]
+    for words, chars in ((20, 1 << 20), (1000, 40), (4, 10)):
+        monkeypatch.setattr(packing, "CACHE_WORDS", words)
+        monkeypatch.setattr(packing, "CACHE_CHARS", chars)
+        tokenizer, found = packing.WordTokenizer(path), []
+        for a in range(0, len(texts), 4):
+            found += tokenizer.encode(pa.array(texts[a : a + 4], pa.string()))
+            assert len(tokenizer.known) == len(tokenizer.stops) == len(tokenizer.met)
+        assert [np.frombuffer(x, dtype="<u2").tolist() for x in found] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(tokenizer.known) < 200
+
+
+def test_topics_bring_related_documents_together():
+    rng = np.random.default_rng(2)
+    docs = [(500 * (i % 4) + rng.integers(0, 200, 80)).astype("<u2") for i in range(400)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=packing.VOCABULARY)
+    idf = np.log1p((400 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    rows = np.stack([packing.sketch(d, idf, 80.0) for d in docs])
+    assert np.array_equal(rows, np.rint(rows))
+    topics = packing.Topics(np.concatenate([rows[:200], rows[:1].repeat(200, axis=0)]), 8)
+    found = topics.of(rows)
+    assert np.array_equal(found, np.concatenate([topics.of(r[None]) for r in rows]))
+    most = [np.bincount(np.flatnonzero(found == t) % 4).max() for t in np.unique(found)]
+    assert sum(most) >= 0.95 * 400  # projections are approximate: topics hardly mix the four vocabularies
+    one = packing.Topics(rows[:1])
+    assert set(one.of(rows)) == {0}
+
+
 def test_packing_of_nothing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert packing.pack_documents(frame(spark, []), path).count() == 0
