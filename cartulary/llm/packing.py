@@ -4,7 +4,8 @@ Documents are tokenised once and kept as 16-bit ids. Corpus statistics (number
 of documents, mean length, document frequency of each vocabulary id) cover all
 documents and are bounded by the vocabulary. Documents are dealt out by topic,
 then by a MinHash over their rarer ids, then by document id, so that related
-texts meet in a partition and no key is too large to be divided. Topics are
+texts meet in a partition; documents of a key that fills several partitions
+take turns among them. Topics are
 centroids of random projections of the BM25 weights, fitted on a bounded sample
 (``SAMPLE`` documents, about); every document is projected whole. A partition is
 read as a run of shards of bounded size; each has its own inverted index. The
@@ -51,8 +52,8 @@ PARTITION_IDS = 1 << 26
 #: Ids that one partition holds at least, about, if the table has as many.
 LEAST_IDS = 1 << 21
 K1, B = 1.2, 0.75
-#: Documents, about, on whose sketches the topics are fitted; topics; numbers in a sketch.
-SAMPLE, TOPICS, SKETCH = 4096, 256, 64
+#: Documents, about, on which topics and the bounds of partitions are fitted; topics; numbers in a sketch.
+SAMPLE, TOPICS, SKETCH = 8192, 256, 64
 #: Distinct words, characters of these, and chunks of other texts, whose ids a worker remembers.
 CACHE_WORDS, CACHE_CHARS, CACHE_CHUNKS = 400_000, 16 << 20, 100_000
 #: Characters that are tokenised in one step.
@@ -313,19 +314,67 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
-def fit_topics(tokens: DataFrame, idf: np.ndarray, docs: int, mean: float) -> Topics | None:
-    """Topics of a sample of about ``SAMPLE`` documents, chosen by a hash of id and ids; only their sketches reach the driver."""
-    share = min(1.0, SAMPLE / max(1, docs))
+#: A draw of 31 bits for each vocabulary id.
+_DRAW = ((np.arange(VOCABULARY, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def min_hash(ids: np.ndarray, rare: np.ndarray) -> int:
+    """The least draw of a document's rarer ids, or of all where it has none."""
+    some = ids[rare[ids]]
+    return int(_DRAW[some if len(some) else ids].min())
+
+
+def bounds_of(keys: np.ndarray, sizes: np.ndarray, partitions: int) -> np.ndarray:
+    """Keys that cut documents like the given ones into partitions of about equal size; a key that fills several is repeated."""
+    order = np.argsort(keys, kind="stable")
+    reached = np.cumsum(sizes[order])
+    return np.interp(reached[-1] * np.arange(1, partitions) / partitions, reached, keys[order]).astype(np.int64)
+
+
+def part_of(keys: np.ndarray, bounds: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Partition of each key; documents of a key that fills several take turns."""
+    first, last = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+    return first + turn % (last - first + 1)
+
+
+def deal(tokens: DataFrame, idf: np.ndarray, rare: np.ndarray, docs: int, mean: float, partitions: int) -> DataFrame:
+    """``(doc_id, ids)`` dealt out by topic and MinHash, and sorted by these and the id.
+
+    Topics and bounds come from about ``SAMPLE`` documents, chosen by a hash of
+    id and ids; only their sketches, MinHashes and sizes reach the driver. A
+    task that is repeated deals its rows as before.
+    """
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(raw, dtype="<u2") for raw in batch.column("ids").to_pylist()]
+            columns = [pa.array([sketch(ids, idf, mean).tobytes() for ids in each], pa.binary()), pa.array([min_hash(ids, rare) for ids in each], pa.int64()), pa.array(list(map(len, each)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["sketch", "low", "size"])
+
+    rows = tokens.where("ids is not null").select("doc_id", "ids")
+    share = int(min(1.0, SAMPLE / max(1, docs)) * (1 << 31))
+    sample = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", "ids"), 33) < share).select("ids")
+    found = sample.mapInArrow(drawn, "sketch binary, low long, size long").limit(2 * SAMPLE).toArrow()
+    if not found.num_rows:
+        topics, bounds = None, np.zeros(0, dtype=np.int64)
+    else:
+        sketches = np.frombuffer(b"".join(found.column("sketch").to_pylist()), dtype=np.float64).reshape(-1, SKETCH)
+        topics = Topics(sketches)
+        bounds = bounds_of((topics.of(sketches) << 31) + np.asarray(found.column("low")), np.asarray(found.column("size")), partitions)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
         for batch in batches:
-            rows = [sketch(np.frombuffer(raw, dtype="<u2"), idf, mean).tobytes() for raw in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["sketch"])
+            each = [np.frombuffer(raw, dtype="<u2") for raw in batch.column("ids").to_pylist()]
+            keys = np.array([min_hash(ids, rare) for ids in each], dtype=np.int64)
+            if topics is not None and each:
+                keys += topics.of(np.stack([sketch(ids, idf, mean) for ids in each])) << 31
+            part = part_of(keys, bounds, np.arange(turn, turn + len(each)))
+            turn += len(each)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(keys), pa.array(part.astype(np.int32))], ["doc_id", "ids", "key", "part"])
 
-    drawn = F.shiftrightunsigned(F.xxhash64("doc_id", "ids"), 33) < int(share * (1 << 31))
-    found = tokens.where("ids is not null").where(drawn).select("ids").mapInArrow(run, "sketch binary").limit(2 * SAMPLE).toArrow()
-    rows = b"".join(found.column(0).to_pylist())
-    return Topics(np.frombuffer(rows, dtype=np.float64).reshape(-1, SKETCH)) if rows else None
+    dealt = rows.mapInArrow(keyed, "doc_id long, ids binary, key long, part int").repartitionById(partitions, F.col("part"))
+    return dealt.sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
 
 
 class Shard:
@@ -478,20 +527,6 @@ def pack(tokens: DataFrame, window: int = WINDOW, shard_ids: int = SHARD_IDS) ->
     df, docs, mean = document_frequencies(tokens)
     idf = np.log1p((docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     rare = (df > 0) & (df <= max(2, docs // 20))
-    draw = (np.arange(VOCABULARY, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-
-    topics = fit_topics(tokens, idf, docs, mean)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [np.frombuffer(raw, dtype="<u2") for raw in batch.column("ids").to_pylist()]
-            if not each:
-                continue
-            some = [ids[rare[ids]] for ids in each]
-            keys = np.array([draw[x if len(x) else ids].min() for x, ids in zip(some, each)], dtype=np.int64)
-            if topics is not None:
-                keys += topics.of(np.stack([sketch(ids, idf, mean) for ids in each])) << 31
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(keys)], ["doc_id", "ids", "key"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows = Windows(TaskContext.get().partitionId(), window)
@@ -513,8 +548,7 @@ def pack(tokens: DataFrame, window: int = WINDOW, shard_ids: int = SHARD_IDS) ->
 
     shuffle = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(1, min(shuffle, int(docs * mean) // LEAST_IDS), int(docs * mean) // PARTITION_IDS)
-    dealt = tokens.where("ids is not null").select("doc_id", "ids").mapInArrow(keyed, "doc_id long, ids binary, key long").repartitionByRange(partitions, "key", "doc_id")
-    return dealt.sortWithinPartitions("key", "doc_id").select("doc_id", "ids").mapInPandas(run, PIECES)
+    return deal(tokens, idf, rare, docs, mean, partitions).mapInPandas(run, PIECES)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

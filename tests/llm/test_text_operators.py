@@ -435,6 +435,20 @@ def test_topics_bring_related_documents_together():
     assert set(one.of(rows)) == {0}
 
 
+def test_a_key_that_fills_partitions_is_divided():
+    rng = np.random.default_rng(4)
+    keys, sizes = rng.integers(0, 1 << 39, 3000), rng.integers(1, 50, 3000)
+    keys[:1500] = 1 << 38  # half of all
+    bounds = packing.bounds_of(keys[::3], sizes[::3], 20)
+    part = packing.part_of(keys, bounds, np.arange(3000))
+    held = np.bincount(part, weights=sizes, minlength=20)
+    assert len(held) == 20 and held.max() < 2 * held.mean() and held.min() > 0
+    order = np.argsort(keys, kind="stable")
+    others = order[keys[order] != 1 << 38]
+    assert (np.diff(part[others]) >= 0).all()
+    assert set(packing.part_of(keys, bounds[:0], np.arange(3000))) == {0}
+
+
 def test_packing_of_nothing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert packing.pack_documents(frame(spark, []), path).count() == 0
