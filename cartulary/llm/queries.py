@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embedding_dedup, packing, pieces, quality, secrets, sharding, simhash, warc
-from .shared import small_batches
+from . import ann, chat, embedding_dedup, fim, merkle, packing, pieces, pii, quality, secrets, sharding, simhash, warc
+from .shared import materialize, small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +97,34 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    formed = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth row, by the CRC of its id, is tampered with: its text in lower case is what is folded."""
+    leaf = lambda text: merkle.leaf_digest(*[text if c == "text" else F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")])
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, leaf(lower))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", leaf(F.col("text")).alias("leaf"), tampered.alias("claim"))
+    tree = merkle.manifest(materialize(rows), "doc_id", "source", "leaf", "claim")
+    return merkle.prove(tree).withColumnRenamed("id", "doc_id")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.BASE_KINDS],
+        F.sha2(pii.span_list("spans", pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.span_list("spans").alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
