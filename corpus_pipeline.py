@@ -28,14 +28,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the rows of each SimHash group keep the one with the smallest id; one without an id only if none has one.
 
-    Rows are chosen on narrow columns; texts take part in the last join alone.
+    Rows are chosen by id, fingerprint and two hashes of the text, which alone
+    are stored; texts take part in the last join. Of rows with the same id and
+    text, which are told apart by nothing, any one is kept.
     """
     small_batches(spark)
-    stored = materialize(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), simhash.fingerprint(F.col("text")).alias("fp"), F.xxhash64("text").alias("text_hash")))
-    found = simhash.with_components(stored.select(F.col("doc.doc_id").alias("id"), "fp", "text_hash", "row"))
-    order = F.struct(F.isnull("id"), "id", "fp", "text_hash", "row")
-    first = found.groupBy("class").agg(F.min_by("row", order).alias("row")).select("row")
-    return stored.join(first, "row", "left_semi").select("doc.*")
+    key = [F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("check")]
+    names = ["id", "hash", "check"]
+    prints = materialize(docs.select(*key, simhash.fingerprint(F.col("text")).alias("fp")).groupBy(*names, "fp").agg(F.count("*").alias("copies")))
+    order = F.struct(F.isnull("id"), "id", "fp", "hash", "check")
+    first = materialize(simhash.with_components(prints).groupBy("class").agg(F.min_by(F.struct(*names, "copies"), order).alias("row")).select("row.*"))
+    rows = docs.select(F.struct("*").alias("doc"), *key)
+    same = lambda other: [rows["id"].eqNullSafe(other["id"]), rows["hash"] == other["hash"], rows["check"] == other["check"]]
+    once, often = first.where("copies = 1"), first.where("copies > 1")
+    kept = rows.join(once, same(once), "left_semi").select("doc.*")
+    if often.take(1):
+        kept = kept.unionByName(rows.join(often, same(often), "left_semi").groupBy(names).agg(F.first("doc").alias("doc")).select("doc.*"))
+    return kept
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
