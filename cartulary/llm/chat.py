@@ -1,125 +1,172 @@
 """Chat formatting with schema fingerprints, in DataFrame functions alone.
 
-A record is a JSON text of any layout. Its nested field paths (types left out,
-and fields that no mapping knows) are hashed to a fingerprint, which selects a
-declarative mapping from that layout to canonical turns, an array of (role,
-text). Turns are then written in a
-template of control strings; control strings that occur inside a text get a
+A record is a JSON text of any layout. The nested paths of its fields are
+hashed, and the hashes select the first of the declarative mappings whose own
+paths are all among them; other fields do not matter. The mapping turns the
+layout into canonical turns, an array of (role, text). Turns are then written in
+a template of control strings; control strings that occur inside a text get a
 backslash, which reading takes away again, so that any text survives. The loss
-mask is a list of spans of the formatted text.
-
-Defined cases: null roles and texts are empty; fields beside those of a layout do
-not matter, unless they nest deeper than ``NESTED`` levels; a record whose
-fingerprint no mapping has, and one that is not JSON, has null turns and null
-output (``layout_counts`` tells how many); one of
-``LARGE`` bytes or more that cannot be parsed is an error, for a limit of the
-parser cannot be told from bad JSON there; a record without turns is the empty text; repeated records are formatted each for itself;
-an empty table gives an empty result; other columns pass through, but for those
-with the names of new columns and ``__variant``, ``__pieces``, ``__text``, which
-are replaced or dropped.
+mask is a list of spans of the formatted text. Time is near linear in the
+length of a conversation.
+
+Defined cases: null roles and texts are empty; a system text beside the turns
+(``SYSTEM``) comes first, as a turn of its own, unless it is empty; a content
+that is a list of parts is the texts of the parts, and a part without a text
+stands as its JSON, as does any other content that is no text; known fields that
+a mapping does not take are named in ``left_over``; a record whose paths no
+mapping has, and one that is not JSON, has null turns and null output
+(``layout_counts`` tells how many of each); one of ``LARGE`` bytes or more that
+cannot be parsed is an error, for a limit of the parser cannot be told from bad
+JSON there; a record without turns is the empty text; repeated records are
+formatted each for itself; an empty table gives an empty result; other columns
+pass through, but for those with the names of new columns and ``__found``,
+``__pieces``, which are replaced or dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bound, cut, running_sums, text_blocks
+
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of this and other common templates, without their first character: fixed values.
 CONTROL = r"\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|/?s>|/?INST\]|/?SYS>|\|[a-z_]+\|>"
 TURNS = "array<struct<role:string,text:string>>"
 #: Bytes of a JSON text from which the limits of a variant (128 MB) or of its parser may be met.
 LARGE = 16 << 20
-#: Levels of unknown nested fields that are left out of a fingerprint.
-NESTED = 8
+#: Fields of a record: texts, system texts, lists of turns; and fields of a turn, the role's and the text's by preference.
+TEXTS = ("prompt", "completion", "response", "question", "answer", "instruction", "input", "output")
+SYSTEM = ("system", "system_prompt")
+LISTS = ("turns", "messages", "conversations", "conversation")
+ROLES, CONTENTS = ("role", "from"), ("content", "value", "text")
+#: Roles that records with a field ``from`` call otherwise.
+RENAMED = {"human": "user", "gpt": "assistant", "bot": "assistant"}
+
+
+def get(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, F.lit(path), kind)
+
+
+def text_of(value: Column) -> Column:
+    """A content as text: as it is, the texts of its parts, or its JSON."""
+    part = lambda p: F.coalesce(get(p, "$.text", "string"), get(p, "$", "string"), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(get(value, "$", "array<variant>"), part), ""), get(value, "$", "string"))
 
 
 @dataclass(frozen=True)
 class Layout:
-    """A record layout: its field paths as fingerprinted, and the SQL that takes turns from ``__variant``."""
+    """A record layout: alternatives of field paths, of each of which it needs one, what it takes, and its mapping from a variant to turns."""
 
     name: str
-    paths: str
-    turns: str
+    needs: tuple[tuple[str, ...], ...]
+    takes: tuple[str, ...]
+    turns: Callable[[Column], Column]
+
 
+def _list(field: str) -> list[Layout]:
+    """A list of turns, and an empty one."""
+    inside = lambda names: tuple(f"{field}[].{n}" for n in names)
+
+    def turn(m: Column) -> Column:
+        named = get(m, "$.from", "string")
+        for old, new in RENAMED.items():
+            named = F.when(get(m, "$.from", "string") == old, new).otherwise(named)
+        text = F.coalesce(*[text_of(get(m, f"$.{c}")) for c in CONTENTS])
+        return F.struct(F.coalesce(get(m, "$.role", "string"), named).alias("role"), text.alias("text"))
 
-def _messages(name: str, field: str, role: str, text: str, renamed: bool = False) -> list[Layout]:
-    """A list of messages; ``renamed`` layouts call the roles human, gpt or bot."""
-    roles = f"CASE m.{role} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' ELSE m.{role} END" if renamed else f"m.{role}"
-    first, second = sorted((role, text))
-    sql = f"transform(try_variant_get(__variant, '$.{field}', 'array<struct<{role}:string,{text}:string>>'), m -> struct({roles} AS role, m.{text} AS text))"
     return [
-        Layout(name, f"OBJECT<{field}: ARRAY<OBJECT<{first}, {second}>>>", sql),
-        Layout(f"{name}_empty", f"OBJECT<{field}: ARRAY<>>", f"CAST(array() AS {TURNS})"),
+        Layout(field, (inside(ROLES), inside(CONTENTS)), inside(ROLES), lambda v: F.transform(get(v, f"$.{field}", "array<variant>"), turn)),
+        Layout(f"{field}_empty", ((f"{field}[]empty",),), (f"{field}[]empty",), lambda v: F.array().cast(TURNS)),
     ]
 
 
-def _pair(name: str, question: str, answer: str) -> Layout:
-    first, second = sorted((question, answer))
-    get = "try_variant_get(__variant, '$.{}', 'string')".format
-    return Layout(name, f"OBJECT<{first}, {second}>", f"array(struct('user' AS role, {get(question)} AS text), struct('assistant' AS role, {get(answer)} AS text))")
+def _pair(question: str, answer: str, more: str | None = None) -> Layout:
+    """Two texts, a question and an answer; ``more`` goes below the question."""
+
+    def turns(v: Column) -> Column:
+        asked = text_of(get(v, f"$.{question}"))
+        if more:
+            asked = F.concat_ws("\n\n", asked, F.nullif(text_of(get(v, f"$.{more}")), F.lit("")))
+        return F.array(F.struct(F.lit("user").alias("role"), asked.alias("text")), F.struct(F.lit("assistant").alias("role"), text_of(get(v, f"$.{answer}")).alias("text")))
+
+    fields = tuple(x for x in (question, more, answer) if x)
+    return Layout("_".join(fields), tuple((x,) for x in fields), fields, turns)
 
 
+#: In order of preference.
 LAYOUTS = (
-    *_messages("turns", "turns", "role", "text"),
-    *_messages("messages", "messages", "role", "content"),
-    *_messages("conversations", "conversations", "from", "value", renamed=True),
-    _pair("prompt_completion", "prompt", "completion"),
-    _pair("prompt_response", "prompt", "response"),
-    _pair("question_answer", "question", "answer"),
-    _pair("instruction_output", "instruction", "output"),
-    Layout(
-        "instruction_input_output",
-        "OBJECT<input, instruction, output>",
-        "array(struct('user' AS role, concat_ws('\\n\\n', try_variant_get(__variant, '$.instruction', 'string'), nullif(try_variant_get(__variant, '$.input', 'string'), '')) AS text),"
-        " struct('assistant' AS role, try_variant_get(__variant, '$.output', 'string') AS text))",
-    ),
+    *(x for f in LISTS for x in _list(f)[:1]),
+    _pair("instruction", "output", "input"),
+    _pair("instruction", "output"),
+    _pair("instruction", "response"),
+    _pair("prompt", "completion"),
+    _pair("prompt", "response"),
+    _pair("prompt", "output"),
+    _pair("question", "answer"),
+    _pair("question", "response"),
+    *(x for f in LISTS for x in _list(f)[1:]),
 )
 
 
-#: Field names that some layout has.
-KNOWN = ("turns", "messages", "conversations", "role", "text", "content", "from", "value", "prompt", "completion", "response", "question", "answer", "instruction", "input", "output")
-_NAME = "(?:`[^`]*`|[^<>,:` ]+)"
-_OTHER = f"(?<=[<, ])(?!(?:{'|'.join(KNOWN)})[,>:])"
+def list_paths(variant: Column, field: str) -> Column:
+    """The paths below a list of turns; null if the record has no such list."""
+    having = lambda turns, name: F.when(F.exists(turns, lambda t: get(t, f"$.{name}").isNotNull()), f"{field}[].{name}")
+    return bound(get(variant, f"$.{field}", "array<variant>"), lambda turns: F.array(F.when(F.size(turns) == 0, f"{field}[]empty"), *[having(turns, n) for n in (*ROLES, *CONTENTS)]))
 
 
-def field_paths(record: Column) -> Column:
-    """The nested names of the fields of a JSON text that some layout knows, without the types of leaves."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
-    leafless = F.regexp_replace(schema, r": [A-Z_ ]+(\([0-9, ]+\))?(?=[,>])", "")
-    paths = F.regexp_replace(leafless, r"ARRAY<[A-Z_ ]+(\([0-9, ]+\))?>", "ARRAY<>")
-    for _ in range(NESTED):  # unknown containers, from the inside
-        paths = F.regexp_replace(paths, rf"{_OTHER}({_NAME}): (?:ARRAY|OBJECT)<[^<>]*>", "$1")
-        paths = F.regexp_replace(paths, rf"{_OTHER}({_NAME}): ARRAY<OBJECT<[^<>]*>>", "$1")
-    paths = F.regexp_replace(paths, rf"{_OTHER}{_NAME}(?:, |(?=>))", "")
-    return F.regexp_replace(paths, ", >", ">")
+def field_paths(variant: Column) -> Column:
+    """The nested paths of the fields of a record that some layout knows."""
+    texts = F.array(*[F.when(get(variant, f"$.{f}").isNotNull(), f) for f in (*TEXTS, *SYSTEM)])
+    return F.array_compact(F.concat(texts, *[list_paths(variant, field) for field in LISTS]))
 
 
-def fingerprint(paths: Column) -> Column:
-    return F.xxhash64(paths)
+def fingerprint(path: Column) -> Column:
+    return F.xxhash64(path)
 
 
 def canonical_turns(records: DataFrame, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``records`` with ``layout_fingerprint`` and ``turns``."""
-    found = records.withColumn("layout_fingerprint", fingerprint(field_paths(F.col(record_col))))
-    turns = F.lit(None).cast(TURNS)
+    """``records`` with ``layout_fingerprint``, ``layout``, ``turns`` and ``left_over``."""
     variant = F.try_parse_json(F.col(record_col))
-    for layout in layouts:
-        turns = F.when(F.col("layout_fingerprint") == fingerprint(F.lit(layout.paths)), F.expr(layout.turns)).otherwise(turns)
+    full = lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
+
+    def chosen(hashes: Column) -> Column:
+        number = F.lit(None).cast("int")
+        for i, layout in reversed(list(enumerate(layouts))):
+            fits = F.lit(True)
+            for either in layout.needs:
+                fits = fits & F.arrays_overlap(hashes, F.array(*[fingerprint(F.lit(p)) for p in either]))
+            number = F.when(fits, i).otherwise(number)
+        return number
+
+    def mapped(v: Column, paths: Column, number: Column) -> Column:
+        turns, name, left = F.lit(None).cast(TURNS), F.lit(None).cast("string"), paths
+        for i, layout in enumerate(layouts):
+            turns = F.when(number == i, layout.turns(v)).otherwise(turns)
+            name = F.when(number == i, layout.name).otherwise(name)
+            content = F.slice(F.filter(F.array(*[F.lit(p) for either in layout.needs[1:] if "[]" in either[0] for p in either]).cast("array<string>"), lambda p: F.array_contains(paths, p)), F.lit(1), F.lit(1))
+            taken = F.concat(F.array(*[F.lit(p) for p in (*layout.takes, *SYSTEM)]), content)
+            left = F.when(number == i, F.array_except(paths, taken)).otherwise(left)
+        system = F.filter(F.array(*[F.struct(F.lit("system").alias("role"), text_of(get(v, f"$.{s}")).alias("text")) for s in SYSTEM]), lambda t: F.length(t["text"]) > 0)
+        whole = F.when(turns.isNotNull(), F.concat(system, F.transform(turns, full)))
+        marks = F.when(F.size(paths) > 0, fingerprint(F.array_join(paths, " ")))
+        return F.struct(marks.alias("layout_fingerprint"), name.alias("layout"), whole.alias("turns"), left.alias("left_over"))
+
+    found = bound(variant, lambda v: bound(field_paths(v), lambda paths: bound(chosen(F.transform(paths, fingerprint)), lambda number: mapped(v, paths, number))))
     lost = (F.octet_length(record_col) >= LARGE) & variant.isNull()
-    turns = F.when(lost, F.raise_error(F.concat(F.lit("a record cannot be parsed; its bytes: "), F.octet_length(record_col).cast("string")))).otherwise(turns)
-    full = F.transform("turns", lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return found.withColumn("__variant", variant).withColumn("turns", turns).drop("__variant").withColumn("turns", full)
+    failed = F.raise_error(F.concat(F.lit("a record cannot be parsed; its bytes: "), F.octet_length(record_col).cast("string")))
+    out = records.withColumn("__found", F.when(lost, failed).otherwise(found))
+    return out.withColumns({c: F.col("__found")[c] for c in ("layout_fingerprint", "layout", "turns", "left_over")}).drop("__found")
 
 
-def layout_counts(found: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """``(layout, n)``: how many records of ``canonical_turns`` each layout took; null for those that none did."""
-    name = F.lit(None).cast("string")
-    for layout in layouts:
-        name = F.when(F.col("layout_fingerprint") == fingerprint(F.lit(layout.paths)), layout.name).otherwise(name)
-    return found.groupBy(name.alias("layout")).agg(F.count("*").alias("n"))
+def layout_counts(found: DataFrame) -> DataFrame:
+    """``(layout, n, left_over)``: how many records of ``canonical_turns`` each layout took, null for those that none
+    did, and how many of them have known fields that the layout did not take."""
+    return found.groupBy("layout").agg(F.count("*").alias("n"), F.count_if(F.size("left_over") > 0).alias("left_over"))
 
 
 def escape(text: Column) -> Column:
@@ -142,20 +189,15 @@ def format_turns(chats: DataFrame, turns_col: str = "turns", loss_role: str = "a
             (t["role"] == loss_role).alias("loss"),
         ),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["head"])
-        close = begin + F.length(p["body"])
-        span = F.struct(begin.cast("int").alias("start"), (close - len(END)).cast("int").alias("end"))
-        return F.struct(close.cast("int").alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return (
-        chats.withColumn("__pieces", pieces)
-        .withColumn("formatted", F.array_join(F.transform("__pieces", lambda p: F.concat(p["head"], p["body"])), ""))
-        .withColumn("loss_spans", F.aggregate("__pieces", start, step, lambda acc: acc["spans"]))
-        .drop("__pieces")
-    )
+
+    def spans(pieces: Column) -> Column:
+        lengths = F.transform(pieces, lambda p: (F.length(p["head"]) + F.length(p["body"])).cast("long"))
+        placed = F.zip_with(pieces, running_sums(lengths), lambda p, stop: F.struct((stop - F.length(p["body"])).cast("int").alias("start"), (stop - len(END)).cast("int").alias("end"), p["loss"].alias("loss")))
+        return F.transform(F.filter(placed, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    done = bound(pieces, lambda ps: F.struct(F.array_join(F.transform(ps, lambda p: F.concat(p["head"], p["body"])), "").alias("formatted"), spans(ps).alias("loss_spans")))
+    out = chats.withColumn("__pieces", F.when(F.col(turns_col).isNotNull(), done))
+    return out.withColumns({c: F.col("__pieces")[c] for c in ("formatted", "loss_spans")}).drop("__pieces")
 
 
 def read_turns(formatted: str = "formatted") -> Column:
@@ -172,7 +214,8 @@ def read_turns(formatted: str = "formatted") -> Column:
 
 def read_loss(formatted: str = "formatted", spans: str = "loss_spans") -> Column:
     """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(F.col(formatted), s["start"] + 1, s["end"] - s["start"]))), "")
+    read = bound(text_blocks(F.col(formatted)), lambda blocks: F.array_join(F.transform(spans, lambda s: unescape(cut(blocks, s["start"], s["end"]))), ""))
+    return F.when(F.col(formatted).isNotNull(), read)
 
 
 def records_of_rows(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
@@ -197,6 +240,8 @@ def turns_of_rows(rows: DataFrame, conv_col: str, turn_col: str, role_col: str,
     a conversation's turns are put together after that, by turn, ties by role and text."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     records = rows.select(F.col(conv_col).alias("conversation"), F.col(turn_col).alias("turn"), record_of_row(F.col(conv_col), empty(role_col), empty(text_col)).alias("record"))
-    row = canonical_turns(records, "record").select("conversation", F.struct("turn", F.col("turns")[0]["role"].alias("role"), F.col("turns")[0]["text"].alias("text")).alias("row"))
+    found = canonical_turns(records, "record")
+    first = F.when(F.size("turns") == 1, F.col("turns")[0]).otherwise(F.raise_error(F.lit("a row that no layout takes")))
+    row = found.select("conversation", "turn", first.alias("said")).select("conversation", F.struct("turn", "said.role", "said.text").alias("row"))
     turns = F.transform(F.array_sort(F.collect_list("row")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return row.groupBy("conversation").agg(turns.alias("turns"))

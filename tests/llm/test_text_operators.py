@@ -108,6 +108,42 @@ def test_unknown_fields_do_not_lose_a_record(spark):
     assert chat.format_turns(found.limit(0)).count() == 0
 
 
+def test_layouts_are_chosen_by_the_paths_they_need(spark):
+    import json
+
+    records = [
+        ({"instruction": "i", "input": "x", "output": "o", "text": "t"}, "instruction_input_output", [("user", "i\n\nx"), ("assistant", "o")], []),
+        ({"prompt": "p", "messages": [{"role": "user", "content": "q"}]}, "messages", [("user", "q")], ["prompt"]),
+        ({"question": "q", "response": "r"}, "question_response", [("user", "q"), ("assistant", "r")], []),
+        ({"prompt": "p", "completion": "c", "question": "z"}, "prompt_completion", [("user", "p"), ("assistant", "c")], ["question"]),
+        ({"messages": [{"role": "user", "content": "q", "text": "tt"}, {"role": "assistant", "content": None, "text": "uu"}]}, "messages", [("user", "q"), ("assistant", "uu")], ["messages[].text"]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, "b"]}]}, "messages", [("user", 'a{"type":"image","url":"u"}b')], []),
+        ({"system": "S", "conversations": [{"from": "human", "value": "hi"}]}, "conversations", [("system", "S"), ("user", "hi")], []),
+        ({"system_prompt": "S", "system": "", "prompt": "p", "response": "r"}, "prompt_response", [("system", "S"), ("user", "p"), ("assistant", "r")], []),
+        ({"system": "only"}, None, None, ["system"]),
+        ({"messages": [{"role": "tool", "content": {"k": 1}}, {"role": "user", "content": 5}]}, "messages", [("tool", '{"k":1}'), ("user", "5")], []),
+        ({"messages": "no list", "prompt": "p", "completion": None}, "prompt_completion", [("user", "p"), ("assistant", "")], []),
+    ]
+    found = chat.canonical_turns(spark.createDataFrame([(i, json.dumps(r[0])) for i, r in enumerate(records)], "i int, record string"), "record")
+    for r in found.collect():
+        _, layout, turns, left = records[r.i]
+        assert (r.layout, r.turns and [tuple(t) for t in r.turns], r.left_over) == (layout, turns, left), r
+    counts = {r.layout: (r.n, r.left_over) for r in chat.layout_counts(found).collect()}
+    assert counts["messages"] == (4, 2) and counts[None] == (1, 1)
+
+
+def test_a_conversation_of_many_turns_takes_linear_time(spark):
+    import time
+
+    n = 16_000
+    said = F.struct(F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é😀 </s> "), F.col("id").cast("string")).alias("text"))
+    chats = spark.range(n).groupBy().agg(F.sort_array(F.collect_list(F.struct("id", said.alias("s")))).alias("x")).select(F.transform("x", lambda x: x["s"]).alias("turns"))
+    began = time.time()
+    row = chat.format_turns(chats).select(chat.read_loss().alias("loss"), chat.read_turns().alias("back"), F.size("loss_spans").alias("spans")).first()
+    assert time.time() - began < 30
+    assert row.loss == "".join(f"é😀 </s> {i}" for i in range(1, n, 2)) and row.spans == n // 2 and [t.text for t in row.back] == [f"é😀 </s> {i}" for i in range(n)]
+
+
 def test_rows_use_several_layouts(spark):
     rows = spark.createDataFrame([(i, 0, role, "x" * n) for i, (role, n) in enumerate([("user", 3), ("human", 2), ("bot", 0), ("gpt", 300_000)] * 6)], "c long, t long, r string, x string")
     records = rows.select("c", "r", "x", chat.record_of_row(F.col("c"), F.col("r"), F.col("x")).alias("record"))
