@@ -133,37 +133,6 @@ def supply_chain(nodes: DataFrame) -> DataFrame:
     return grouped.select("url", F.regexp_extract("url", "^(?:https?:)?//([^/?#]*)", 1).alias("host"), "pages", "integrity", "crossorigin")
 
 
-#: Calls that begin something, and what ends it; group 1 is the name they share, if any. The last field is the kind.
-PAIRED = (
-    (r"addEventListener\(\s*[\"']([A-Za-z]+)[\"']", r"removeEventListener\(\s*[\"']([A-Za-z]+)[\"']", "listener-never-removed"),
-    (r"(setInterval)\(", r"clear(Interval)\(", "interval-never-cleared"),
-    (r"(setTimeout)\(", r"clear(Timeout)\(", "timeout-never-cleared"),
-    (r"(requestAnimationFrame)\(", r"cancel(AnimationFrame)\(", "frame-never-cancelled"),
-    (r"(?:new (?:Intersection|Mutation|Resize|Performance)(Observer))\(", r"\.(disconnect)\(", "observer-never-disconnected"),
-    (r"(?:local|session)Storage\.setItem\(\s*[\"']([^\"']+)[\"']", r"(?:local|session)Storage\.getItem\(\s*[\"']([^\"']+)[\"']", "stored-never-read"),
-)
-
-
-def unpaired(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Listeners, timers, observers and stored keys of a page that nothing in the same page ends or reads.
-
-    Both sides of a pair are taken from the page by position (line) in one scan;
-    a row without its counterpart, by page, kind and name, is a finding. Pairs
-    that share no name match by kind alone.
-    """
-
-    def side(pattern: str, kind: str) -> Column:
-        named = "[" in pattern
-        lines = F.split(html_col, "\n")
-        per_line = F.transform(lines, lambda t, i: F.transform(F.regexp_extract_all(t, F.lit(pattern)), lambda n: F.struct((i + 1).alias("line"), F.lit(kind).alias("kind"), (n if named else F.lit("")).alias("name"))))
-        return F.flatten(per_line)
-
-    rows = pages.where(F.col(html_col).isNotNull())
-    opened = rows.select(F.col(id_col).alias("page_id"), F.explode(F.concat(*[side(o, k) for o, _, k in PAIRED])).alias("f")).select("page_id", "f.*")
-    closed = rows.select(F.col(id_col).alias("page_id"), F.explode(F.concat(*[side(c, k) for _, c, k in PAIRED])).alias("f")).select("page_id", "f.kind", "f.name").distinct()
-    return opened.join(closed, ["page_id", "kind", "name"], "left_anti").select("page_id", "line", "kind", F.col("name").alias("detail"))
-
-
 def unused_classes(nodes: DataFrame) -> DataFrame:
     """Classes that a page's style blocks declare and no element of the page has."""
     blocks = nodes.where("tag = 'style'").select("page_id", F.col("node_id").alias("parent_id"))

@@ -71,12 +71,16 @@ def report(found: DataFrame, rules: dict[str, list[tuple[str, str]]] = ANALYZERS
     return rule_table(found.sparkSession, rules).join(counts, ["analyzer", "kind"], "left").select("analyzer", "kind", "severity", zero("hits"), zero("pages"))
 
 
-def scorecard(found: DataFrame, pages: DataFrame, id_col: str = "page_id", ceiling: float = 0.25) -> DataFrame:
-    """``(analyzer, findings, worst, pages, share, passes)``: the share of pages with a finding that is more than a note, against a ceiling."""
+def scorecard(found: DataFrame, pages: DataFrame, id_col: str = "page_id", ceiling: float = 0.25, rules: dict[str, list[tuple[str, str]]] = ANALYZERS) -> DataFrame:
+    """``(analyzer, findings, worst, pages, share, passes)``: the share of pages with a finding that is more than a note, against a
+    ceiling; analyzers of ``rules`` that found nothing have zeros and ``none``."""
     total = pages.agg(F.count_distinct(id_col).alias("total"))
     rank = F.when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0)
     per_page = found.groupBy("analyzer", "page_id").agg(F.count("*").alias("n"), F.max(rank).alias("worst"))
-    cards = per_page.groupBy("analyzer").agg(F.sum("n").alias("findings"), F.max("worst").alias("worst"), F.count_if(F.col("worst") > 0).alias("pages"))
-    share = F.round(F.col("pages") / F.col("total"), 4)
-    worst = F.element_at(F.array(F.lit("note"), F.lit("medium"), F.lit("high")), F.col("worst") + 1)
+    counts = per_page.groupBy("analyzer").agg(F.sum("n").alias("findings"), F.max("worst").alias("worst"), F.count_if(F.col("worst") > 0).alias("pages"))
+    # every analyzer ran, so one without findings has zeros; those that did not run have no row
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    cards = rule_table(found.sparkSession, rules).select("analyzer").distinct().join(counts, "analyzer", "left").select("analyzer", zero("findings"), zero("pages"), "worst")
+    share = F.round(F.coalesce(F.col("pages") / F.nullif("total", F.lit(0)), F.lit(0.0)), 4)
+    worst = F.coalesce(F.try_element_at(F.array(F.lit("note"), F.lit("medium"), F.lit("high")), F.col("worst") + 1), F.lit("none"))
     return cards.crossJoin(F.broadcast(total)).select("analyzer", "findings", worst.alias("worst"), "pages", share.alias("share"), (share <= ceiling).alias("passes"))  # total is one row

@@ -71,12 +71,14 @@ def high_entropy_tokens(docs: DataFrame, id_col: str, text_col: str, length: int
 POLICY_HINT = r"@|-----BEGIN|AKIA|password|secret|token|api_?key|[0-9]{4}[ -]?[0-9]{4}|[+][0-9]"
 
 
-def policy_findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, line, kind)``: at most one finding a line, of the first rule that matches; values are not kept."""
-    hinted = docs.where(F.col(text_col).rlike(POLICY_HINT))
-    lines = hinted.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text")).where(F.col("text").rlike(POLICY_HINT))
+def policy_findings(docs: DataFrame, id_col: str, text_col: str, rules: tuple[tuple[str, str], ...] = POLICY_RULES, hint: str = POLICY_HINT) -> DataFrame:
+    """``(id, line, kind)``: at most one finding a line, of the first rule that matches; values are not kept.
+
+    ``hint`` is a pattern that every text with a match has."""
+    hinted = docs.where(F.col(text_col).rlike(hint))
+    lines = hinted.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "text")).where(F.col("text").rlike(hint))
     kind = F.lit(None).cast("string")
-    for name, rule in reversed(POLICY_RULES):
+    for name, rule in reversed(rules):
         kind = F.when(F.col("text").rlike(rule), name).otherwise(kind)
     return lines.select("id", (F.col("pos") + 1).cast("long").alias("line"), kind.alias("kind")).where("kind is not null")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Extensions that a corpus scan keeps.
@@ -63,18 +63,39 @@ def robots_rules(spark: SparkSession, path: str, agent: str = "*") -> DataFrame:
     return agents.where((F.col("agent") == agent) & F.col("key").isin("allow", "disallow") & (F.col("rule") != "")).select((F.col("key") == "allow").alias("allow"), F.col("rule").alias("pattern"))
 
 
-def robots_verdicts(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
-    """``paths`` with ``allowed``: the longest matching rule decides, allow wins ties.
+def matches_rule(path: Column, pattern: Column) -> Column:
+    """Whether a crawl rule takes a path: ``*`` is any run of characters, a last ``$`` the end of the path, all else the path's beginning.
 
-    Rules meet the beginnings of each path by equality; beginnings longer than the longest rule are not made.
+    The parts between stars are looked for one after the other, each from where
+    the one before ended, so time is linear in the path however many stars there are.
     """
-    longest = rules.agg(F.max(F.length("pattern"))).first()[0] or 0
+    anchored = pattern.endswith("$")
+    parts = F.split(F.when(anchored, F.regexp_replace(pattern, r"\$$", "")).otherwise(pattern), r"\*")
+    last = F.element_at(parts, -1)
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - F.when(anchored, 2).otherwise(1), F.lit(0)))
+    step = lambda at, part: F.when(at < 0, at).otherwise(F.when(part == "", at).otherwise(F.coalesce(F.nullif(F.position(part, path, at + 1), F.lit(0)) + F.length(part) - 1, F.lit(-1))))
+    end = F.aggregate(inner, F.length(parts[0]), step)
+    rest = F.when(F.size(parts) == 1, path == parts[0]).otherwise((end >= 0) & path.endswith(last) & (F.length(path) - F.length(last) >= end))
+    return path.startswith(parts[0]) & F.when(anchored, rest).otherwise(end >= 0)
+
+
+def robots_verdicts(paths: DataFrame, rules: DataFrame, path_col: str = "path", on: tuple[str, ...] = ()) -> DataFrame:
+    """``paths`` with ``allowed``: the longest matching rule decides, allow wins ties; ``on``: columns that paths and rules share, such as the host.
+
+    Rules are indexed by what they begin with, up to their first star; each path
+    meets them by its own beginnings, no longer than the longest of the rules',
+    and the pattern is verified on the candidates. A rule that begins with a
+    star is a candidate for every path of its host. A null path is allowed.
+    """
+    literal = F.regexp_extract("pattern", r"^(.*?)(\*|\$$|$)", 1)
+    known = rules.select(*on, "allow", "pattern", literal.alias("_begin"))
+    longest = known.agg(F.max(F.length("_begin"))).first()[0] or 0
     length = F.least(F.length(path_col), F.lit(longest))
     begin = F.transform(F.sequence(F.lit(0), F.coalesce(length, F.lit(0))), lambda n: F.substring(F.col(path_col), F.lit(1), n))
-    known = paths.select(path_col).distinct()
-    hits = known.select(path_col, F.explode(begin).alias("pattern")).join(rules, "pattern")
-    best = hits.groupBy(path_col).agg(F.max(F.struct(F.length("pattern").alias("n"), "allow")).alias("_best"))
-    return paths.join(best, path_col, "left").select(*paths.columns, F.coalesce("_best.allow", F.lit(True)).alias("allowed"))
+    asked = paths.select(*on, path_col).distinct().where(F.col(path_col).isNotNull())
+    hits = asked.select(*on, path_col, F.explode(begin).alias("_begin")).join(known, [*on, "_begin"]).where(matches_rule(F.col(path_col), F.col("pattern")))
+    best = hits.groupBy(*on, path_col).agg(F.max(F.struct(F.length("pattern").alias("n"), "allow")).alias("_best"))
+    return paths.join(best, [*on, path_col], "left").select(*paths.columns, F.coalesce("_best.allow", F.lit(True)).alias("allowed"))
 
 
 def sitemap_urls(spark: SparkSession, path: str, origin: str) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cartulary.operators import analyzers, api_style, audits, findings, markup, source_code
+from cartulary.operators import analyzers, api_style, audits, findings, markup, scripts, source_code
 
 FORM = """<html><head><title>t</title>
 <link rel="stylesheet" href="//cdn.example.net/a.css"><script src="/js/a.js"></script><script src="/js/b.js" defer></script>
@@ -80,7 +80,7 @@ def test_supply_chain_groups_by_address(nodes):
 
 def test_unpaired(pages):
     want = [(2, 2, "listener-never-removed", "resize"), (2, 4, "interval-never-cleared", ""), (2, 6, "observer-never-disconnected", ""), (2, 7, "stored-never-read", "seen")]
-    assert got(audits.unpaired(pages)) == sorted(want)
+    assert got(scripts.unpaired(pages)) == sorted(want)
 
 
 def test_inline_code(nodes):
@@ -110,6 +110,9 @@ def test_report_and_scorecard(spark, pages):
     cards = {r.analyzer: r for r in findings.scorecard(found, pages).collect()}
     assert cards["security"].worst == "medium" and cards["security"]["pages"] == 1 and cards["security"].share == 0.25 and cards["security"].passes
     assert findings.report(found.limit(0)).agg(F.sum("hits")).first()[0] == 0
+    assert set(cards) == set(analyzers.ANALYZERS)
+    clean = findings.scorecard(found.limit(0), pages).collect()
+    assert len(clean) == len(analyzers.ANALYZERS) and all((r.findings, r.worst, r["pages"], r.share, r.passes) == (0, "none", 0, 0.0, True) for r in clean)
 
 
 def test_mandatory_texts():
