@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Query keys by the style of paging they belong to. Fixed values.
-PAGING = {"page": "page number", "per_page": "page number", "pageSize": "page number", "limit": "offset", "offset": "offset", "skip": "offset", "cursor": "cursor", "after": "cursor", "before": "cursor"}
-RPC = r"(?i)^(get|create|update|delete|remove|add|set|fetch|save|search|query|list|do)[A-Z_-]?"
-NO_RPC = r"(?i)^(delete[ds]|settings?|sets)$"
+#: Query keys by the style of paging they belong to: fixed values.
+PAGING = {
+    "page": "page number", "per_page": "page number", "perPage": "page number", "size": "page number",
+    "limit": "offset and limit", "offset": "offset and limit", "skip": "offset and limit", "top": "offset and limit",
+    "cursor": "cursor", "after": "cursor", "next": "cursor", "pageToken": "cursor",
+}
+#: Words that tell what is done, when a segment begins with one.
+ACTIONS = ("add", "apply", "cancel", "close", "copy", "create", "delete", "do", "edit", "fetch", "find", "get", "insert", "list", "load", "make", "move", "open", "put", "query", "read", "remove", "run", "save", "search", "send", "set", "start", "stop", "submit", "update")
+
+
+def first_word(segment: Column) -> Column:
+    """The first word of a name in any case style, in lower case."""
+    return F.lower(F.regexp_extract(segment, "^([A-Z]+(?![a-z])|[A-Z]?[a-z]+)", 1))
 
 
 def case_class(segment: Column) -> Column:
@@ -26,7 +35,7 @@ def census(calls: DataFrame, path: str = "path") -> DataFrame:
     segment = calls.select(F.explode(F.filter(F.split(bare, "/"), lambda s: (s != "") & ~s.rlike(r"[{$:]|^[0-9]+$"))).alias("s"))
     version = F.col("s").rlike("(?i)^v[0-9]+$")
     noun = F.when(~version & case_class(F.col("s")).isNotNull(), F.when(F.col("s").endswith("s"), "plural").otherwise("singular"))
-    verb = F.when(F.col("s").rlike(RPC) & ~F.col("s").rlike(NO_RPC), F.col("s"))
+    verb = F.when(first_word(F.col("s")).isin(*ACTIONS), F.col("s"))
     aspects = F.array(
         F.struct(F.lit("case").alias("aspect"), F.when(~version, case_class(F.col("s"))).alias("value")),
         F.struct(F.lit("version").alias("aspect"), F.when(version, F.lower("s")).alias("value")),

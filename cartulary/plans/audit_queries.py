@@ -121,13 +121,20 @@ def scorecards_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecards.scorecards(table(spark, sf_dir, "pages"), materialize(page_nodes(spark, sf_dir)))
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, 'function *[A-Za-z_$]* *[(][^()]*[)] *[{]')) AS functions, 0 AS complex FROM pages""")
+#: Each user's events as one function: every kind of event is a statement of its own shape.
+_STATEMENT = "CASE event_type WHEN 'click' THEN 'if (k) { b(\"}\"); }\n' WHEN 'error' THEN 'while (k) { if (j) { c(); } }\n' WHEN 'purchase' THEN 'x = (a) => { if (a && b) { while (c) { d(); } } };\n' ELSE 'y();\n' END"
+
+
+@query("""WITH u AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1)
+  SELECT user_id, 1 + p AS functions, (n + 2 > 40 OR CASE WHEN p > 0 THEN 4 WHEN e > 0 THEN 3 WHEN c > 0 THEN 2 ELSE 1 END >= 4 OR c + 2 * e + 3 * p >= 10)::BIGINT AS complex, n + 2 AS lines, CASE WHEN p > 0 THEN 4 WHEN e > 0 THEN 3 WHEN c > 0 THEN 2 ELSE 1 END AS depth, c + 2 * e + 3 * p AS branches FROM u""")
 def dsp_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions of each page, and those that are long, deep or branched (the given pages have none)."""
-    found = source_code.complexity(table(spark, sf_dir, "pages"))
-    counts = found.groupBy("page_id").agg(F.count("*").alias("functions"), F.count_if(source_code.over_bounds()).alias("complex"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return table(spark, sf_dir, "pages").select("page_id").join(counts, "page_id", "left").select("page_id", zero("functions"), zero("complex"))
+    """Functions of each user's events written as source, and those that are long, deep or branched, with the outer one's measures."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.expr(_STATEMENT).alias("line"))
+    body = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "line"))).alias("l"))
+    source = body.select("user_id", F.concat(F.lit("function u"), "user_id", F.lit("() {\n"), F.array_join(F.transform("l", lambda x: x["line"]), ""), F.lit("}\n")).alias("source"))
+    found = source_code.complexity(source, "user_id", "source").withColumnRenamed("page_id", "user_id")
+    outer = F.col("name") != "x"
+    return found.groupBy("user_id").agg(F.count("*").alias("functions"), F.count_if(source_code.over_bounds()).alias("complex"), *[F.max(F.when(outer, F.col(c))).cast("long").alias(c) for c in ("lines", "depth", "branches")])
 
 
 _PAGING = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in api_style.PAGING.items())
@@ -137,7 +144,7 @@ _PAGING = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in api_style.PAGING.items()
   s AS (SELECT unnest(list_filter(string_split(split_part(path, '?', 1), '/'), lambda s: s <> '' AND NOT regexp_matches(s, '[{{$:]|^[0-9]+$'))) AS s FROM p),
   c AS (SELECT s, regexp_matches(s, '(?i)^v[0-9]+$') AS v, CASE WHEN regexp_matches(s, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN 'kebab' WHEN regexp_matches(s, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 'snake' WHEN regexp_matches(s, '^[a-z]+[A-Z][A-Za-z0-9]*$') THEN 'camel' WHEN regexp_matches(s, '^[a-z][a-z0-9]*$') THEN 'single word' END AS k FROM s),
   a AS (SELECT 'case' AS aspect, k AS value FROM c WHERE NOT v UNION ALL SELECT 'version', lower(s) FROM c WHERE v UNION ALL SELECT 'noun', CASE WHEN ends_with(s, 's') THEN 'plural' ELSE 'singular' END FROM c WHERE NOT v AND k IS NOT NULL
-  UNION ALL SELECT 'verb', s FROM c WHERE regexp_matches(s, '{api_style.RPC}') AND NOT regexp_matches(s, '{api_style.NO_RPC}')
+  UNION ALL SELECT 'verb', s FROM c WHERE lower(regexp_extract(s, '^([A-Z]?[a-z]+)', 1)) IN {api_style.ACTIONS}
   UNION ALL SELECT 'paging', CASE split_part(x, '=', 1) {_PAGING} END FROM (SELECT unnest(string_split(split_part(path, '?', 2), '&')) AS x FROM p))
   SELECT aspect, value, count(*) AS n FROM a WHERE value IS NOT NULL GROUP BY 1, 2""")
 def dsp_apistyle(spark: SparkSession, sf_dir: str) -> DataFrame:

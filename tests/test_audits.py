@@ -128,7 +128,12 @@ def test_functions_and_their_measures(spark):
     df = spark.createDataFrame([(1, source), (2, None), (3, "")], "page_id long, html string")
     rows = source_code.complex_functions(source_code.complexity(df)).collect()
     assert [(r.name, r.weight) for r in rows] == [("two", 3 + 50 + 4)]
-    assert source_code.closing("a{b{c}", 1) == 5
+    odd = """class A { get(x = f(1)) { return "}" + `{`; } // }
+  async run() { if (x) { } else { switch (y) { case 1: } } } }
+const h = async z => { }; if (a) { b }"""
+    assert source_code.functions_of(odd) == [("get", 1, 1, 1, 0), ("run", 2, 1, 3, 2), ("h", 3, 1, 1, 0)]
+    nested = "function f() {" * 4000 + "}" * 4000
+    assert [f[3] for f in source_code.functions_of(nested)] == list(range(4000, 0, -1))
 
 
 def test_interface_style(spark):
