@@ -216,3 +216,118 @@ def prop_names(found: DataFrame) -> DataFrame:
     named = F.when(F.col("kind") == "attr", plain).when(word != "", word).otherwise(F.concat(F.lit("text"), (F.col("slot") + 1).cast("string")))
     again = F.row_number().over(Window.partitionBy("skeleton", "prop").orderBy("slot"))
     return found.withColumn("prop", named).withColumn("_n", again).withColumn("prop", F.when(F.col("_n") == 1, F.col("prop")).otherwise(F.concat("prop", "_n"))).drop("_n")
+
+
+#: Elements whose text runs on in that of the element around them, and attributes that are read aloud or shown: fixed values.
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "br", "cite", "code", "data", "dfn", "em", "i", "img", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var", "wbr"}
+SHOWN = {"alt", "title", "placeholder", "aria-label", "aria-description", "label"}
+COPY = "page_id long, place int, line int, where string, value string, pattern string, bound boolean"
+_EXPRESSION = re.compile(r"\{\{(.*?)\}\}", re.S)
+_NAME = re.compile(r"[A-Za-z_$][\w$]*")
+
+
+class _Sentences(HTMLParser):
+    """The running text of each block in document order; inline elements and bindings become numbered or named places."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.rows: list[tuple] = []
+        self.around = ["body"]
+        self.silent = 0
+        self.reset_run()
+
+    def reset_run(self) -> None:
+        self.parts: list[tuple[str, str]] = []
+        self.inner: list[tuple[str, int]] = []
+        self.next = 0
+        self.line = 0
+
+    def row(self, where: str, value: str, pattern: str, bound: bool, line: int) -> None:
+        self.rows.append((len(self.rows), line, where, value, pattern, bound))
+
+    def flush(self) -> None:
+        """The run ends: what stands open in it is closed, and it is one row if it has any text."""
+        while self.inner:
+            self.parts.append(("mark", f"</{self.inner.pop()[1]}>"))
+        text = " ".join("".join(p if kind == "text" else " " for kind, p in self.parts if kind != "mark").split())
+        if text:
+            pattern = " ".join("".join(p for _, p in self.parts).split())
+            self.row(self.around[-1], text, pattern, any(kind == "value" for kind, _ in self.parts), self.line)
+        self.reset_run()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.silent += 1
+        for name, value in attrs:
+            if name in SHOWN and value and value.split():
+                text = " ".join(value.split())
+                self.row(f"@{name}", " ".join(_EXPRESSION.sub(" ", text).split()), text, bool(_EXPRESSION.search(text)), self.getpos()[0])
+        if tag in INLINE:
+            if tag in VOID:
+                self.parts.append(("mark", f"<{self.next}/>"))
+            else:
+                self.parts.append(("mark", f"<{self.next}>"))
+                self.inner.append((tag, self.next))
+            self.next += 1
+            return
+        self.flush()
+        if tag not in VOID:
+            self.around.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.silent = max(0, self.silent - 1)
+        if tag in INLINE:
+            at = next((i for i in range(len(self.inner) - 1, -1, -1) if self.inner[i][0] == tag), None)
+            while at is not None and len(self.inner) > at:
+                self.parts.append(("mark", f"</{self.inner.pop()[1]}>"))
+            return
+        self.flush()
+        if tag in self.around[1:]:
+            while self.around.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if self.silent:
+            return
+        if not self.line and data.strip():
+            self.line = self.getpos()[0] + data[: len(data) - len(data.lstrip())].count("\n")
+        at, unnamed = 0, sum(kind == "value" and p.startswith("{value") for kind, p in self.parts)
+        for m in _EXPRESSION.finditer(data):
+            self.parts.append(("text", data[at : m.start()]))
+            name = m[1].strip()
+            if not _NAME.fullmatch(name):
+                unnamed += 1
+                name = f"value{unnamed}"
+            self.parts.append(("value", f"{{{name}}}"))
+            at = m.end()
+        self.parts.append(("text", data[at:]))
+
+    def finish(self, html: str) -> list[tuple]:
+        self.feed(html)
+        self.close()
+        self.flush()
+        return self.rows
+
+
+def sentences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``(page_id, place, line, where, value, pattern, bound, key)``: a row for each run of text of a block, in document
+    order, and for each attribute that is shown (``where`` is the block, or ``@name``).
+
+    ``pattern`` has inline elements as numbered places and bindings as named
+    ones, ``value`` the words alone; texts without two letters together and bare
+    addresses are left out. ``key`` is the slug of the first six words.
+    """
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    names, types = zip(*[(n, kinds[t]) for n, t in (c.split() for c in COPY.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *r) for i, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in _Sentences().finish(html or "")]
+            columns = list(zip(*rows)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], list(names))
+
+    found = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, COPY)
+    copy = found.where((F.length("value") >= 2) & F.col("value").rlike("[A-Za-z]{2}") & ~F.col("value").rlike("^(https?:)?//"))
+    words = F.filter(F.split(F.lower("value"), "[^a-z0-9]+"), lambda w: w != "")
+    return copy.withColumn("key", F.coalesce(F.nullif(F.array_join(F.slice(words, 1, 6), "_"), F.lit("")), F.lit("text")))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import drop_path, materialize, scratch_dir
+from .ordered import running
 
 
 def redirect_closure(hops: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
@@ -44,6 +46,43 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int, a: str = "src", b:
     return found
 
 
+def budgeted_crawl(roots: DataFrame, links: DataFrame, pages: DataFrame, depth: int, max_pages: int, max_bytes: int) -> DataFrame:
+    """``(node, depth, place, outcome)``: what a crawl in order of discovery reads before its budgets are spent.
+
+    ``roots``: node, place. ``links``: src, pos, dst. ``pages``: node, bytes; a
+    node without a page is missing and costs nothing. Nodes are met level by
+    level, by the place of the page that names them first and the position of
+    the link. A node is left out ("over the page limit", "over the byte limit")
+    once the pages or bytes read before it reach the budget, and one named on
+    the last level is "beyond depth"; only pages that were read name others.
+    Places and budgets are running totals over range partitions, so that no
+    task holds a level; the levels met so far are stored, and only new ones are
+    written.
+    """
+    known = pages.groupBy("node").agg(F.max("bytes").alias("bytes"))
+    front = roots.groupBy("node").agg(F.min(F.struct(F.lit(0).cast("long").alias("from"), F.col("place").cast("long").alias("pos"))).alias("by"))
+    levels: list[DataFrame] = []
+    places = spent_pages = spent_bytes = 0
+    for level in range(depth + 1):
+        met = front.select("node", "by.from", "by.pos").join(known, "node", "left").withColumns({"one": F.lit(1).cast("long"), "page": F.col("bytes").isNotNull().cast("long"), "size": F.coalesce("bytes", F.lit(0)).cast("long")})
+        counted = running(met, [], ["from", "pos", "node"], {"rank": ("one", "sum"), "read": ("page", "sum"), "total": ("size", "sum")})
+        before_pages, before_bytes = F.col("read") - F.col("page") + spent_pages, F.col("total") - F.col("size") + spent_bytes
+        outcome = F.when(before_pages >= max_pages, "over the page limit").when(before_bytes >= max_bytes, "over the byte limit").when(F.col("page") == 0, "missing").otherwise("page")
+        levels.append(materialize(counted.select("node", F.lit(level).alias("depth"), (F.col("rank") + places).alias("place"), outcome.alias("outcome"), F.when(outcome == "page", F.col("size")).otherwise(0).alias("size"))))
+        now = levels[-1]
+        done = now.agg(F.count("*"), F.count_if(F.col("outcome") == "page"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        places, spent_pages, spent_bytes = places + done[0], spent_pages + done[1], spent_bytes + done[2]
+        named = now.where("outcome = 'page'").join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct(F.col("place").alias("from"), F.col("pos").cast("long").alias("pos"))).alias("by"))
+        for seen in levels:
+            named = named.join(seen.select("node"), "node", "left_anti")
+        front = named
+        if not done[1]:
+            break
+    met = front.select("node", "by.from", "by.pos").withColumn("one", F.lit(1).cast("long"))
+    beyond = running(met, [], ["from", "pos", "node"], {"rank": ("one", "sum")}).select("node", F.lit(len(levels)).alias("depth"), (F.col("rank") + places).alias("place"), F.lit("beyond depth").alias("outcome"))
+    return reduce(DataFrame.unionByName, [x.drop("size") for x in levels], beyond)
+
+
 def contract_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Replace the edges of each Arrow batch by a star forest with the same components."""
     for batch in batches:

@@ -142,3 +142,50 @@ def markdown(html: Column | str) -> Column:
         return pd.Series([to_markdown(p) for p in pages], dtype=object)
 
     return convert(html)
+
+
+#: Elements whose text is not markup: fixed values.
+RAW = ("script", "style")
+
+
+def write_pages(node_table: DataFrame) -> DataFrame:
+    """``(page_id, html)``: the node table written back to markup.
+
+    Every node gives its opening tag or text, and every element that ends after
+    it a closing tag, the inner ones first; sorted by place they are the page.
+    A page is one row, and so gathered as one.
+    """
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), safe(e["value"]), F.lit('"'))), "")
+    raw = node_table.where(F.col("tag").isin(*RAW)).select("page_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("raw"))
+    known = node_table.join(raw, ["page_id", "parent_id"], "left")
+    opened = F.when(F.col("tag") != "#text", F.concat(F.lit("<"), "tag", attrs, F.lit(">"))).when(F.col("raw"), F.col("text")).otherwise(safe(F.col("text")))
+    begin = known.select("page_id", F.struct(F.col("node_id").alias("at"), F.lit(0).alias("after"), F.lit(0).alias("inner"), opened.alias("text")).alias("piece"))
+    closes = node_table.where((F.col("tag") != "#text") & ~F.col("tag").isin(*sorted(VOID)))
+    end = closes.select("page_id", F.struct(F.col("last_id").alias("at"), F.lit(1).alias("after"), (-F.col("depth")).alias("inner"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("text")).alias("piece"))
+    pages = begin.unionByName(end).groupBy("page_id").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return pages.select("page_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("html"))
+
+
+def structure(node_table: DataFrame) -> DataFrame:
+    """``(page_id, tag, n)``: the bag of tags of each page, texts under ``#text`` by their characters."""
+    chars = F.sum(F.when(F.col("tag") == "#text", F.length(F.regexp_replace("text", r"\s+", ""))).otherwise(1))
+    return node_table.groupBy("page_id", "tag").agg(chars.alias("n"))
+
+
+def round_trip(node_table: DataFrame) -> DataFrame:
+    """``(page_id, elements, depth, held, drift)``: each page of a stored node table written, parsed again and compared.
+
+    ``drift`` names each tag whose number changed, and ``depth`` where the
+    deepest element moved; it is empty for a page that held.
+    """
+    back = nodes(write_pages(node_table))
+    one, two = structure(node_table), structure(back).withColumnRenamed("n", "back")
+    counts = lambda t, n, d: t.groupBy("page_id").agg(F.count_if(F.col("tag") != "#text").alias(n), F.max(F.when(F.col("tag") != "#text", F.col("depth"))).alias(d))
+    bags = one.join(two, ["page_id", "tag"], "full").select("page_id", "tag", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("back", F.lit(0)).alias("back"))
+    moved = F.when(F.col("n") != F.col("back"), F.concat("tag", F.lit(": "), "n", F.lit(" became "), "back"))
+    drift = bags.groupBy("page_id").agg(F.array_sort(F.collect_list(moved)).alias("drift"))
+    sizes = counts(node_table, "elements", "depth").join(counts(back, "_e", "_d"), "page_id", "left")
+    deeper = F.when(~F.col("depth").eqNullSafe(F.col("_d")), F.array(F.concat(F.lit("depth: "), F.coalesce(F.col("depth").cast("string"), F.lit("none")), F.lit(" became "), F.coalesce(F.col("_d").cast("string"), F.lit("none"))))).otherwise(F.array().cast("array<string>"))
+    joined = sizes.join(drift, "page_id").select("page_id", "elements", "depth", F.concat("drift", deeper).alias("drift"))
+    return joined.select("page_id", "elements", "depth", (F.size("drift") == 0).alias("held"), F.array_join("drift", "; ").alias("drift"))

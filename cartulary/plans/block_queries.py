@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import blocks
+from ..operators import blocks, markup
 from ..sources.tables import table
 from .catalog import query
 from .scratch import materialize
@@ -20,7 +22,8 @@ _BLOCKS = rf"""src AS (SELECT page_id, regexp_replace(html, '<(script|style)>.*?
   paired AS (SELECT *, lead(stop) OVER w AS fin, lead(s) OVER w AS next FROM levels WINDOW w AS (PARTITION BY page_id, tag, level ORDER BY i)),
   blocks AS (SELECT page_id, tag, stop - length(t) AS first, fin AS last, regexp_replace(substr(h, (stop - length(t) + 1)::BIGINT, (fin - stop + length(t))::BIGINT), '\s+', ' ', 'g') AS frag, (fin - stop + length(t))::INT AS chars FROM paired WHERE s = 1 AND next = -1 AND fin - stop + length(t) >= {blocks.LEAST_CHARS}),
   shaped AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(frag, '="[^"]*"', '=@', 'g'), '>[^<>]*[^<> ][^<>]*<', '>@<', 'g'), '> <', '><', 'g') AS skeleton FROM blocks)"""
-_DECODE = "replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')".format
+_ENTITIES = {"&quot;": '"', "&#x27;": "''", "&lt;": "<", "&gt;": ">", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+_DECODE = reduce(lambda sql, e: f"replace({sql}, '{e[0]}', '{e[1]}')", _ENTITIES.items(), "{0}").format
 
 
 @query(rf"""WITH {_BLOCKS}, shared AS (SELECT frag, count(DISTINCT page_id) AS pages, count(*) AS uses FROM shaped GROUP BY 1 HAVING count(DISTINCT page_id) >= 2),
@@ -47,3 +50,20 @@ def r20_block_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = materialize(blocks.varying_blocks(materialize(blocks.block_table(pages))))
     held = pages.join(kept.select("page_id").distinct(), "page_id", "left_semi")
     return blocks.varying_slots(kept, blocks.slot_table(held)).drop("skeleton")
+
+
+_QUIET = "regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'gs')"
+
+
+@query(rf"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(h, '<(title|h1|p|div[^>]*|footer|b|a [^>]*)>([^<]+)', 1)) AS tag, trim(regexp_replace({_DECODE("unnest(regexp_extract_all(h, '<(title|h1|p|div[^>]*|footer|b|a [^>]*)>([^<]+)', 2))")}, '\s+', ' ', 'g')) AS value FROM (SELECT page_id, {_QUIET} AS h FROM pages)),
+  w AS (SELECT page_id, CASE WHEN tag = 'b' THEN 'p' WHEN tag LIKE 'a %' THEN 'li' ELSE regexp_extract(tag, '^[a-z0-9]+') END AS "where", value, CASE WHEN tag = 'b' THEN '<0>' || value || '<1/></0>' WHEN tag LIKE 'a %' THEN '<0>' || value || '</0>' ELSE value END AS pattern FROM t)
+  SELECT page_id, "where", value, pattern, coalesce(nullif(array_to_string(list_filter(string_split_regex(lower(value), '[^a-z0-9]+'), lambda x: x <> '')[:6], '_'), ''), 'text') AS key FROM w WHERE length(value) >= 2 AND regexp_matches(value, '[A-Za-z][A-Za-z]')""")
+def dsp_i18n_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running texts of each page's blocks, with places for inline elements, keyed by their first words."""
+    return blocks.sentences(table(spark, sf_dir, "pages")).select("page_id", "where", "value", "pattern", "key")
+
+
+@query(rf"""SELECT page_id, len(regexp_extract_all({_QUIET}, '<[a-z]')) + 2 AS elements, true AS held, '' AS drift FROM pages WHERE html <> ''""")
+def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written back from its nodes, parsed again and compared."""
+    return markup.round_trip(materialize(markup.nodes(table(spark, sf_dir, "pages")))).select("page_id", "elements", "held", "drift")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,3 +44,40 @@ def transitions(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
     grouped = events.withWatermark("ts", late).groupBy("user_id")
     return grouped.applyInPandasWithState(step, "user_id long, from string, to string, n long", "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def answers(log: DataFrame, late: str = "10 minutes", patience: str = "30 seconds") -> DataFrame:
+    """``(address, request, response, outcome)`` of a log (ts, seq, address, kind): each response with the first open
+    request of its address, in order of time within a batch.
+
+    Open requests are the state of an address. Eviction is an extension: a
+    request that is older than ``patience`` when the watermark passes it leaves
+    as ``unanswered``; a response without an open request leaves as ``early``.
+    """
+    wait = pd.Timedelta(patience)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, numbers = (list(x) for x in state.get) if state.exists else ([], [])
+        open_requests = deque(zip(times, numbers))
+        rows = []
+        if not state.hasTimedOut:
+            said = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
+            for ts, seq, kind in zip(said["ts"], said["seq"].tolist(), said["kind"]):
+                if kind == "request":
+                    open_requests.append((int(ts.timestamp() * 1000), seq))
+                elif open_requests:
+                    rows.append((key[0], open_requests.popleft()[1], seq, "answered"))
+                else:
+                    rows.append((key[0], None, seq, "early"))
+        now = state.getCurrentWatermarkMs()
+        while open_requests and open_requests[0][0] + int(wait.total_seconds() * 1000) <= now:
+            rows.append((key[0], open_requests.popleft()[1], None, "unanswered"))
+        if open_requests:
+            state.update(([t for t, _ in open_requests], [s for _, s in open_requests]))
+            state.setTimeoutTimestamp(max(now + 1, open_requests[0][0] + int(wait.total_seconds() * 1000)))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["address", "request", "response", "outcome"]).astype({"request": "Int64", "response": "Int64"})
+
+    grouped = log.withWatermark("ts", late).groupBy("address")
+    return grouped.applyInPandasWithState(step, "address string, request long, response long, outcome string", "times array<bigint>, numbers array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
