@@ -14,7 +14,8 @@ and a spanning star, never its pairs.
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components, and vectors without a label, link with nothing; vectors of unequal
 length are not compared; repeated rows link with each other; a null id counts as
-larger than any; an empty table gives an empty result.
+larger than any; an empty table gives an empty result; only the id, label and
+vector columns are read, so other columns and their names do not matter.
 """
 
 from __future__ import annotations

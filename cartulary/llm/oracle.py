@@ -69,7 +69,7 @@ def _tree_sql() -> str:
     k AS (SELECT doc_id, key, best, arg_min(name, {draw}) AS rack FROM r JOIN racks ON parent = region GROUP BY doc_id, key, best),
     s AS (SELECT doc_id, key, best, arg_min(shard, {draw}) AS shard FROM k JOIN shards ON parent = rack GROUP BY doc_id, key, best)
     SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-      row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(key), 1, 4))::BIGINT % {sharding.SLOT_BUCKETS}, doc_id) - 1 AS slot,
+      row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(key || '|' || text_crc32), 1, 4))::BIGINT % {sharding.SLOT_BUCKETS}, doc_id) - 1 AS slot,
       CASE WHEN {draw.replace("name", f"'{new.name}'").replace("weight", str(new.weight))} < best THEN {tree.shards} ELSE shard END AS grown_shard
     FROM s JOIN sums USING (doc_id, key)"""
 

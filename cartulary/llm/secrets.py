@@ -8,8 +8,9 @@ the candidate documents are searched with the regex itself. A rule without a
 mandatory trigram scans every document. Nothing is shuffled, memory follows the
 shard size, and a lost task is simply run again.
 
-Defined cases: a null or empty text has no spans; repeated rows are scanned
-each for itself; an empty table gives an empty result; other columns pass
+Defined cases: a null or empty text has no spans; spans with equal starts go by
+the order of the rules; a text of any length is scanned whole, in a shard of its
+own if it is longer than one; repeated rows are scanned each for itself; an empty table gives an empty result; other columns pass
 through untouched, but for one with the name of the spans column.
 """
 

@@ -9,7 +9,8 @@ Growth adds a shard as a region of its own: the draws among all older nodes stay
 as they were, so the new shard takes documents only into itself.
 
 The law is ``key``: id and shard count decide. Slots are gapless in each shard;
-they are counted by hash buckets of a shard, so that no task has a whole shard.
+they are counted by hash buckets of a shard (of id and text), so that no task has
+a whole shard; texts are read once, and what is counted is stored.
 
 Defined cases: a null id draws like the text "null"; a null text has no bytes;
 repeated rows go to the same shard and get slots of their own, in any order;
@@ -25,6 +26,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
 #: Hash buckets of a shard in which slots are counted.
@@ -100,18 +103,18 @@ def shard_of(id_col: str, tree: Node) -> Column:
 
 def assign_shards(docs: DataFrame, tree: Node, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, size, text_crc32, shard, slot, grown_shard)``, a row for each row of ``docs``."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    bucket = (F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("int") % SLOT_BUCKETS).alias("bucket")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
+    narrow = docs.select(
         F.col(id_col).alias("id"),
         (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         shard_of(id_col, tree).alias("shard"),
         shard_of(id_col, tree.grown()).alias("grown_shard"),
-        bucket,
     )
-    counts = docs.select(shard_of(id_col, tree).alias("shard"), bucket).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    # the text takes part in the bucket, so that rows without an id, or with the same one, do not meet in one
+    key = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit("|"), F.col("text_crc32").cast("string"))
+    rows = materialize(narrow.withColumn("bucket", F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("int") % SLOT_BUCKETS))
+    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # shards x SLOT_BUCKETS rows at most, whatever the input: small enough to send everywhere
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

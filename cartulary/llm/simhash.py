@@ -19,7 +19,10 @@ that meet another.
 
 Defined cases: null and empty texts and texts of white space have fingerprint 0
 and link with each other; a null id counts as larger than any; repeated rows
-link with themselves; an empty table gives an empty result.
+link with themselves; ties have no say, for every link of distance 3 or less
+counts; texts of any length are read whole, their shingles hashed a block at a
+time; an empty table gives an empty result; only the id and text columns are
+read, so other columns and their names do not matter.
 """
 
 from __future__ import annotations
