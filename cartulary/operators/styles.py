@@ -86,3 +86,15 @@ def unmatched(selector_table: DataFrame, tokens: DataFrame) -> DataFrame:
     key = ["sheet", "place"]
     hit = asked.select(*key, F.explode("wanted").alias("token")).join(tokens, "token", "left_semi").select(key).distinct()
     return asked.join(hit, key, "left_anti").drop("wanted")
+
+
+def dead_classes(selector_table: DataFrame, tokens: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(name, sheets)``: classes that sheets declare, no page has, and no script names; in how many sheets.
+
+    A name that a script has after a quote, a blank or a full stop may be put together there, and is left out.
+    """
+    declared = selector_table.select("sheet", F.explode(F.regexp_extract_all("selector", F.lit(r"\.([A-Za-z_][\w-]*)"))).alias("name"))
+    counted = declared.groupBy("name").agg(F.count_distinct("sheet").alias("sheets"))
+    used = tokens.where(F.col("token").startswith(".")).select(F.substring("token", 2, 1 << 20).alias("name"))
+    named = texts.select(F.explode(F.regexp_extract_all(text_col, F.lit(r"(?:^|[\"'`\s.])([A-Za-z_][\w-]*)(?=[\"'`\s.]|$)"))).alias("name")).distinct()
+    return counted.join(used, "name", "left_anti").join(named, "name", "left_anti")
