@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import graph, relational
-from ..sources.tables import CALLS_SQL, PAGES_SQL, calls, page_urls, table
+from ..sources.tables import CALLS_SQL, LINKS_SQL, PAGES_SQL, calls, page_links, page_urls, table
 from .catalog import query
 
 
@@ -118,15 +118,8 @@ def r24_density_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand", band.alias("density")).agg(F.count("*").alias("n"))
 
 
-@query("WITH g AS (SELECT label, list(embedding[1]::DOUBLE) AS xs FROM embeddings GROUP BY label), f AS (SELECT label, unnest(xs) AS x FROM g) SELECT label, count(*) AS n, round(sum(x), 6) AS total FROM f GROUP BY label")
-def r25_nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples nested in vectors, flattened and summed by label."""
-    first = table(spark, sf_dir, "embeddings").select("label", F.explode(F.slice("embedding", 1, 1)).alias("x"))
-    return first.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x").cast("double")), 6).alias("total"))
-
-
 @query("WITH f AS (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, count(*) AS n, round(sum(x), 6) AS total FROM f GROUP BY label")
-def r25_nested_flatten_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r25_nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All samples nested in vectors, flattened and summed by label."""
     samples = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x"))
     return samples.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x").cast("double")), 6).alias("total"))
@@ -216,18 +209,21 @@ def r40_redirect_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.redirect_closure(hops).select("src", F.when(~F.col("cyclic"), F.col("dst")).alias("dst"), "cyclic")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000000 + l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_quantity >= 49),
-  n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(node, root) AS (SELECT a, a FROM n UNION SELECT n.b, w.root FROM walk w JOIN n ON n.a = w.node WHERE w.root < n.b)
-  SELECT node, min(root) AS component FROM walk GROUP BY node""")
+#: Components by the least node each round, in SQL: a node's row is replaced while a neighbour has a smaller one.
+_COMPONENTS = """n AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM n UNION SELECT n.b, min(cc.component) FROM cc JOIN n ON n.a = cc.node JOIN recurring.cc AS r ON r.node = n.b WHERE cc.component < r.component GROUP BY n.b)
+  SELECT node, component FROM cc"""
+
+
+@query(f"""WITH RECURSIVE {LINKS_SQL}, e AS (SELECT DISTINCT page_id AS a, ('0x' || substr(md5(host || target), 1, 12))::BIGINT + 1000000000000 AS b FROM links WHERE target IS NOT NULL), {_COMPONENTS}""")
 def r50_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of customers and suppliers through large urgent orders."""
-    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", (F.col("l_suppkey") + 1000000000).alias("b"))
-    edges = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), "b")
+    """Connected components of pages and the addresses that they link to."""
+    address = F.conv(F.substring(F.md5(F.concat("host", "target")), 1, 12), 16, 10).cast("long") + 1000000000000
+    edges = page_links(spark, sf_dir).where("target is not null").select(F.col("page_id").alias("a"), address.alias("b"))
     return graph.connected_components(edges, "a", "b")
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000000 + l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey), {_COMPONENTS}""")
 def r50_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of customers and suppliers through all orders and their lines."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

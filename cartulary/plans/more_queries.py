@@ -124,12 +124,13 @@ def r71_three_valued_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("page_id").agg(F.count("_hit").alias("hit"), F.count_if(F.col("_hit").isNull() & F.col("target").isNotNull()).alias("miss"), F.count_if(F.col("target").isNull()).alias("unknown"))
 
 
-@query("""WITH x AS (SELECT label, floor((embedding[1]::DOUBLE + 1) * 127.5)::INT AS r, floor((embedding[2]::DOUBLE + 1) * 127.5)::INT AS g, floor((embedding[3]::DOUBLE + 1) * 127.5)::INT AS b FROM embeddings), c AS (SELECT r // 8 AS br, g // 8 AS bg, b // 8 AS bb, r, g, b, count(*) AS n FROM x GROUP BY ALL),
+@query("""WITH p AS (SELECT embedding, unnest(range(len(embedding) // 3)) * 3 AS i FROM embeddings), x AS (SELECT floor((embedding[i + 1]::DOUBLE + 1) * 127.5)::INT AS r, floor((embedding[i + 2]::DOUBLE + 1) * 127.5)::INT AS g, floor((embedding[i + 3]::DOUBLE + 1) * 127.5)::INT AS b FROM p), c AS (SELECT r // 8 AS br, g // 8 AS bg, b // 8 AS bb, r, g, b, count(*) AS n FROM x GROUP BY ALL),
   k AS (SELECT br, bg, bb, sum(n)::BIGINT AS total, arg_min((r * 256 + g) * 256 + b, (-n, r, g, b)) AS colour FROM c GROUP BY 1, 2, 3) SELECT br, bg, bb, total, colour FROM k ORDER BY total DESC, br, bg, bb LIMIT 8""")
 def r73_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight fullest five-bit bins of three components, with each bin's most frequent exact value."""
-    part = lambda i: F.floor((F.element_at("embedding", i).cast("double") + 1) * 127.5).cast("int")
-    c = table(spark, sf_dir, "embeddings").groupBy(part(1).alias("r"), part(2).alias("g"), part(3).alias("b")).agg(F.count("*").alias("n"))
+    """Vectors read as rows of pixels: the eight fullest five-bit bins, with each bin's most frequent exact value."""
+    part = lambda i: F.floor((F.get("embedding", F.col("at") * 3 + i).cast("double") + 1) * 127.5).cast("int")
+    pixels = table(spark, sf_dir, "embeddings").where(F.size("embedding") >= 3).select("embedding", F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / 3).cast("int") - 1)).alias("at"))
+    c = pixels.groupBy(part(0).alias("r"), part(1).alias("g"), part(2).alias("b")).agg(F.count("*").alias("n"))
     bins = [F.floor(F.col(x) / 8).cast("int").alias(f"b{x}") for x in "rgb"]
     k = c.groupBy(*bins).agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("k"), "r", "g", "b")).alias("m"))
     return k.select("br", "bg", "bb", "total", ((F.col("m.r") * 256 + F.col("m.g")) * 256 + F.col("m.b")).alias("colour")).orderBy(F.desc("total"), "br", "bg", "bb").limit(8)

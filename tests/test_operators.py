@@ -76,7 +76,7 @@ def test_components_and_search(spark):
 def test_flatten_reaches_every_sample(spark, tmp_path):
     vectors = [("a", [1.0, 2.0, 4.0]), ("a", [8.0]), ("b", []), ("b", [16.0, 32.0])]
     spark.createDataFrame(vectors, "label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = catalog.queries()["r25_nested_flatten_all"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["r25_nested_flatten"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {("a", 4, 15.0), ("b", 2, 48.0)}
 
 
