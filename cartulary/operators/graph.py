@@ -36,14 +36,14 @@ def redirect_closure(hops: DataFrame, source: str = "src", target: str = "dst")
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int, a: str = "src", b: str = "dst") -> DataFrame:
-    """``(node, depth)``: breadth-first search from ``roots`` (column node), at most ``depth`` steps."""
-    found = roots.select("node", F.lit(0).alias("depth"))
-    front = found
+    """``(node, depth)``: breadth-first search from ``roots`` (column node), at most ``depth`` steps; each step stores what it finds alone."""
+    levels = [roots.select("node", F.lit(0).alias("depth"))]
     for step in range(1, depth + 1):
-        front = front.join(edges, F.col("node") == F.col(a)).select(F.col(b).alias("node")).distinct().join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(step))
-        found = materialize(found.unionByName(front))
-        front = found.where(F.col("depth") == step)
-    return found
+        front = levels[-1].join(edges, F.col("node") == F.col(a)).select(F.col(b).alias("node")).distinct()
+        for seen in levels:
+            front = front.join(seen.select("node"), "node", "left_anti")
+        levels.append(materialize(front.withColumn("depth", F.lit(step))))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def budgeted_crawl(roots: DataFrame, links: DataFrame, pages: DataFrame, depth: int, max_pages: int, max_bytes: int) -> DataFrame:
