@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 
 def ordered_pass(df: DataFrame, group: str, order: list[str], step: Callable, schema: str) -> DataFrame:
     """Run ``step(state, row) -> (state, output row)`` over each group's rows in order.
@@ -48,6 +50,58 @@ def entity_step(threshold: float = 0.5):
     return step
 
 
+SHAPES = "group string, seq long, endpoint string, entity long, added array<string>, conflicts array<string>"
+
+
+def shape_step(threshold: float = 0.5):
+    """Each shape (its properties as ``name:type``, sorted) joins the first entity that it resembles; the entity's
+    properties grow, the first type of a property stays, and another one is a conflict. Postings from properties to
+    entities give the candidates, so a shape is not compared with all."""
+
+    def step(state, row):
+        entities, postings = state if state is not None else ([], {})
+        shape = dict(p.rsplit(":", 1) for p in row.properties)
+        shared: dict[int, int] = {}
+        for name in shape:
+            for i in postings.get(name, ()):
+                shared[i] = shared.get(i, 0) + 1
+        home = min((i for i, n in shared.items() if n >= threshold * (len(entities[i]) + len(shape) - n)), default=None)
+        if home is None:
+            home = len(entities)
+            entities.append({})
+        known = entities[home]
+        added = sorted(n for n in shape if n not in known)
+        conflicts = [f"{n}: {known[n]} vs {t}" for n, t in sorted(shape.items()) if n in known and known[n] != t]
+        for name in added:
+            known[name] = shape[name]
+            postings.setdefault(name, []).append(home)
+        return (entities, postings), (row.group, row.seq, row.endpoint, home, [f"{n}:{shape[n]}" for n in added], conflicts)
+
+    return step
+
+
+def entities(shapes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``(group, entity, name, seen, properties, conflicts)`` of shapes (group, seq, endpoint, properties: array of
+    ``name:type``), met in the order of ``seq``: each joins the first entity with a Jaccard similarity of properties of
+    ``threshold`` or more. The name is the noun that most of its endpoints end with, the first met on ties.
+
+    The pass over a group holds its entities alone; what each shape adds is
+    gathered by Spark afterwards. Shapes without properties are left out.
+    """
+    named = shapes.where(F.size("properties") > 0).select("group", "seq", "endpoint", F.array_sort("properties").alias("properties"))
+    met = ordered_pass(named, "group", ["seq", "endpoint"], shape_step(threshold), SHAPES)
+    path = F.regexp_extract("endpoint", "^[^?]*", 0)
+    words = F.filter(F.split(path, "[/ ]"), lambda p: (p != "") & ~p.rlike(r"^[:{$*]|^\d+$") & ~p.rlike(r"(?i)^(api|v\d+)$"))
+    noun = F.regexp_replace(F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("entity")), "s$", "")
+    each = materialize(met.withColumn("noun", noun))
+    key = ["group", "entity"]
+    best = each.groupBy(*key, "noun").agg(F.count("*").alias("n"), F.min("seq").alias("first")).groupBy(key).agg(F.max_by("noun", F.struct("n", -F.col("first"))).alias("name"), F.sum("n").alias("seen"))
+    # an entity has as many properties as it has names
+    grown = each.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(F.when(F.size("added") > 0, F.col("added"))))).alias("properties"), F.sum(F.size("conflicts")).alias("conflicts"))
+    same = [best["group"].eqNullSafe(grown["group"]), best["entity"] == grown["entity"]]
+    return best.join(grown, same).select(best["group"], best["entity"], "name", "seen", "properties", "conflicts")
+
+
 def tolerance_step(width: float):
     """Sorted values join a bucket within ``width`` of the first value that opened it."""
 

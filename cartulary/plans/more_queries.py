@@ -55,6 +55,15 @@ def r28_greedy_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy.ordered_pass(p, "host", ["id"], greedy.entity_step(), "id long, entity long").withColumnRenamed("id", "page_id")
 
 
+@query()
+def r28_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of each host: a page's tags are the properties of its address, of type one or many."""
+    tags = F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"))
+    typed = F.transform(F.array_distinct("tags"), lambda t: F.concat(t, F.when(F.size(F.filter("tags", lambda x: x == t)) > 1, ":many").otherwise(":one")))
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("group"), F.col("page_id").alias("seq"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^#]*)", 1).alias("endpoint"), tags.alias("tags"))
+    return greedy.entities(p.select("group", "seq", "endpoint", typed.alias("properties")))
+
+
 _REFS = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id")]
 
 

@@ -135,3 +135,37 @@ def test_dead_classes(spark):
     texts = spark.createDataFrame([("el.className = 'named big'; q('.built')",), (None,)], "text string")
     found = styles.dead_classes(styles.selectors(styles.sheets(pages)), styles.used_tokens(pages), texts)
     assert [(r.name, r.sheets) for r in found.collect()] == [("dead", 2)]
+
+
+def entities_in_turn(shapes):
+    found = []
+    for endpoint, properties in shapes:
+        if not properties:
+            continue
+        home = next((e for e in found if len(e["p"].keys() & properties.keys()) / len(e["p"].keys() | properties.keys()) >= 0.5), None)
+        if home is None:
+            home = {"p": {}, "names": [], "conflicts": 0}
+            found.append(home)
+        for k, t in properties.items():
+            home["conflicts"] += k in home["p"] and home["p"][k] != t
+            home["p"].setdefault(k, t)
+        word = next((w for w in reversed(endpoint.split("?")[0].replace(" ", "/").split("/")) if w and not w.isdigit() and w[0] not in ":{$*" and w.lower() not in ("api", "v1")), "entity")
+        home["names"].append(word.removesuffix("s"))
+    return [(i, max(dict.fromkeys(e["names"]), key=e["names"].count), len(e["names"]), sorted(f"{k}:{t}" for k, t in e["p"].items()), e["conflicts"]) for i, e in enumerate(found)]
+
+
+def test_entities_grow_in_order(spark):
+    import random
+
+    from cartulary.operators import greedy
+
+    rng = random.Random(8)
+    names, kinds = [f"p{i}" for i in range(14)], ["string", "number"]
+    groups = {g: [(f"/api/v1/{rng.choice(['users', 'orders', 'items'])}/{rng.choice([':id', '7', ''])}", {n: rng.choice(kinds) for n in rng.sample(names, rng.randint(0, 6))}) for _ in range(120)] for g in ("a", "b", None)}
+    rows = [(g, i, e, [f"{k}:{t}" for k, t in p.items()]) for g, shapes in groups.items() for i, (e, p) in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "group string, seq long, endpoint string, properties array<string>").repartition(4)
+    got = {}
+    for r in greedy.entities(df).orderBy("entity").collect():
+        got.setdefault(r.group, []).append((r.entity, r.name, r.seen, list(r.properties), r.conflicts))
+    assert got == {g: entities_in_turn(shapes) for g, shapes in groups.items()}
+    assert greedy.entities(df.limit(0)).count() == 0
