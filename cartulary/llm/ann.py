@@ -7,6 +7,10 @@ are spread over the partitions. Every row of the table is indexed in the
 partition that the network finds most probable; a query goes to several, the
 most probable first, and all their rows are compared exactly.
 
+Where the table is so large that partitions would be too, each is parted again
+in the same way, by a network of its own, fitted in a task on a bounded sample
+of its rows; the networks together are bounded by constants.
+
 Queries and rows meet as blocks of bounded size, so a partition that holds very
 many rows is cut into as many blocks as it needs.
 
@@ -35,6 +39,11 @@ from .vectors import kmeans, pack_blocks, sample_vectors, squared_distances, sta
 SAMPLE = 12_000
 #: Rows a partition should have, about; small tables have FEW_PARTS partitions of SMALL_PART rows or more, none more than MAX_PARTS.
 PART_ROWS, MAX_PARTS, SMALL_PART, FEW_PARTS = 1600, 256, 100, 16
+#: Where partitions would hold more than twice PART_ROWS, each is parted again, in INNER_PARTS at most, by a network
+#: fitted on at most INNER_SAMPLE of its own distinct vectors.
+INNER_PARTS, INNER_SAMPLE = 64, 4000
+#: A query looks into further outer partitions until those are this probable.
+OUTER_PROBABILITY = 0.98
 GRAPH_DEGREE = 20
 HIDDEN, EPOCHS, BATCH, RATE = 128, 40, 256, 3e-3
 #: A query goes on to further partitions until those it has reached are this probable,
@@ -99,6 +108,9 @@ class Router:
     def parts(self) -> int:
         return len(self.b2)
 
+    def place(self, x: np.ndarray) -> np.ndarray:
+        return self.probabilities(x).argmax(axis=1)
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -131,6 +143,53 @@ class Router:
         return Router(p[0] * scale, p[1], p[2], p[3])
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Two levels of partitions: partition ``i`` of the outer network is parted again by ``inner[i]``, where it has one, in ``width`` at most."""
+
+    outer: Router
+    inner: dict[int, Router]
+    width: int
+
+    @property
+    def parts(self) -> int:
+        return self.outer.parts * self.width
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        at = self.outer.place(x)
+        out = at * self.width
+        for p in np.unique(at):
+            if p in self.inner:
+                out[at == p] += self.inner[p].place(x[at == p])
+        return out
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of all partitions; those in outer partitions that are too improbable to be looked into have none."""
+        first = self.outer.probabilities(x)
+        order = np.argsort(-first, axis=1, kind="stable")
+        before = np.cumsum(np.take_along_axis(first, order, axis=1), axis=1) - np.take_along_axis(first, order, axis=1)
+        wanted = np.zeros_like(first, dtype=bool)
+        np.put_along_axis(wanted, order, before < OUTER_PROBABILITY, axis=1)
+        out = np.zeros((len(x), self.parts))
+        for p in np.flatnonzero(wanted.any(axis=0)):
+            rows = np.flatnonzero(wanted[:, p])
+            at = p * self.width
+            if p in self.inner:
+                inner = self.inner[p]
+                out[rows, at : at + inner.parts] = first[rows, p][:, None] * inner.probabilities(x[rows])
+            else:
+                out[rows, at] = first[rows, p]
+        return out
+
+
+#: Queries whose probabilities are made together: a row has one for each partition.
+ROUTED = 256
+
+
+def routes(router: Router | Tree, x: np.ndarray, sizes: np.ndarray, need: int) -> list[list[int]]:
+    return [r for a in range(0, len(x), ROUTED) for r in route(router.probabilities(x[a : a + ROUTED]), sizes, need)]
+
+
 def learn(x: np.ndarray, parts: int) -> Router | None:
     if parts < 2:
         return None
@@ -152,6 +211,31 @@ def route(probabilities: np.ndarray, sizes: np.ndarray, need: int) -> list[list[
     return [o[: s + 1].tolist() for o, s in zip(order, stop)]
 
 
+def parted_again(placed: DataFrame, routers: dict[int, Router | None], sizes: dict[int, np.ndarray]) -> dict[int, Router | Tree | None]:
+    """The routers, those whose partitions are too large with networks for each of them: fitted in tasks, on bounded samples, and small enough to be held here."""
+    large = {dim: r for dim, r in routers.items() if r and sizes[dim].max() > 2 * PART_ROWS}
+    if not large:
+        return dict(routers)
+    # vectors by hash, so that copies count once; four times as many as a sample of each partition holds
+    most = max(int(sizes[d].sum() / (4 * INNER_SAMPLE * r.parts)) for d, r in large.items())
+    tried = placed.where(F.col("dim").isin(list(large))).withColumn("h", F.xxhash64("vec")).where(F.pmod(F.col("h"), F.lit(max(1, most))) == 0)
+    first = F.row_number().over(Window.partitionBy("dim", "part").orderBy("h", "id"))
+    sample = tried.dropDuplicates(["dim", "part", "h"]).withColumn("n", first).where(F.col("n") <= INNER_SAMPLE)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        dim, part = int(rows["dim"].iloc[0]), int(rows["part"].iloc[0])
+        x = stack(rows.sort_values("h")["vec"])
+        router = learn(x, int(min(INNER_PARTS, sizes[dim][part] // PART_ROWS, len(x) // 50)))
+        found = [] if router is None else [(dim, part, router.parts, *[a.astype(np.float32).tobytes() for a in (router.w1, router.b1, router.w2, router.b2)])]
+        return pd.DataFrame(found, columns=["dim", "part", "parts", "w1", "b1", "w2", "b2"])
+
+    inner: dict[int, dict[int, Router]] = {dim: {} for dim in large}
+    numbers = lambda raw: np.frombuffer(raw, dtype=np.float32).astype(np.float64)
+    for r in sample.select("dim", "part", "h", "vec").groupBy("dim", "part").applyInPandas(fit, "dim int, part int, parts int, w1 binary, b1 binary, w2 binary, b2 binary").collect():
+        inner[r.dim][r.part] = Router(numbers(r.w1).reshape(r.dim, -1), numbers(r.b1), numbers(r.w2).reshape(-1, r.parts), numbers(r.b2))
+    return {dim: Tree(r, inner[dim], INNER_PARTS) if inner.get(dim) else r for dim, r in routers.items()}
+
+
 def best(queries: list, candidates: list, k: int) -> list[tuple[int, int, int, float]]:
     """``(row, query_id, vec_id, score)``: the k best of a block for each query, scores summed in one fixed order."""
     row, query_id, q = queries[0], np.asarray(queries[1]), stack(queries[2])
@@ -178,30 +262,44 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")))
     dims = {d: n for d, n in rows.groupBy("dim").count().orderBy(F.desc("count")).limit(64).collect()}
     sample = sample_vectors(rows, SAMPLE)
-    routers: dict[int, Router | None] = {}
+    routers: dict[int, Router | Tree | None] = {}
     for dim, n in dims.items():
         x = [v for v in sample if len(v) == dim]
         parts = int(min(MAX_PARTS, max(n // PART_ROWS, min(FEW_PARTS, n // SMALL_PART)), len(x) // 50))
         routers[dim] = learn(stack(x), parts) if parts > 1 else None
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, part in batch.groupby("dim"):
-                router = routers.get(dim)
-                at = router.probabilities(stack(part["vec"])).argmax(axis=1) if router else 0
-                yield part.assign(part=at)[["dim", "part", "id", "vec"]]
-
     vec_type = rows.schema["vec"].dataType.simpleString()
-    placed = materialize(rows.select("dim", "id", "vec").mapInPandas(place, f"dim int, part int, id long, vec {vec_type}"))
-    sizes = {dim: np.zeros(r.parts if r else 1, dtype=np.int64) for dim, r in routers.items()}
-    for dim, part, n in placed.groupBy("dim", "part").count().where(F.col("dim").isin(list(sizes))).collect():
-        sizes[dim][part] = n
+
+    def indexed() -> DataFrame:
+        now = dict(routers)
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for dim, part in batch.groupby("dim"):
+                    router = now.get(dim)
+                    yield part.assign(part=router.place(stack(part["vec"])) if router else 0)[["dim", "part", "id", "vec"]]
+
+        return materialize(rows.select("dim", "id", "vec").mapInPandas(place, f"dim int, part int, id long, vec {vec_type}"))
+
+    def counted(placed: DataFrame) -> dict[int, np.ndarray]:
+        sizes = {dim: np.zeros(r.parts if r else 1, dtype=np.int64) for dim, r in routers.items()}
+        for dim, part, n in placed.groupBy("dim", "part").count().where(F.col("dim").isin(list(sizes))).collect():
+            sizes[dim][part] = n
+        return sizes
+
+    placed = indexed()
+    sizes = counted(placed)
+    deeper = parted_again(placed, routers, sizes)
+    if any(isinstance(r, Tree) for r in deeper.values()):
+        routers = deeper
+        placed = indexed()
+        sizes = counted(placed)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby("dim"):
                 router = routers.get(dim)
-                to = route(router.probabilities(stack(part["vec"])), sizes[dim], ENOUGH * k + 1) if router else [[0]] * len(part)
+                to = routes(router, stack(part["vec"]), sizes[dim], ENOUGH * k + 1) if router else [[0]] * len(part)
                 yield part.assign(parts=to)[["dim", "row", "id", "vec", "parts"]]
 
     asked = rows.where("asks").select("dim", "row", "id", "vec").mapInPandas(visit, f"dim int, row long, id long, vec {vec_type}, parts array<int>")

@@ -101,6 +101,25 @@ def test_search_of_a_given_table_goes_through_partitions(spark, monkeypatch):
     assert hit / len(got) >= 0.9
 
 
+def test_large_partitions_are_parted_again(spark, monkeypatch):
+    for name, value in (("PART_ROWS", 40), ("MAX_PARTS", 6), ("INNER_PARTS", 8)):
+        monkeypatch.setattr(ann, name, value)
+    made = []
+    keep = ann.parted_again
+    monkeypatch.setattr(ann, "parted_again", lambda *a: made.append(keep(*a)) or made[-1])
+    x = clusters(4000, 16, 5)
+    rows = {i: v.tolist() for i, v in enumerate(x)} | {5000 + i: x[7].tolist() for i in range(400)}
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows.items()], SCHEMA).repartition(4)
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).toPandas()
+    assert len(made) == 1 and isinstance(made[0][16], ann.Tree) and len(made[0][16].inner) >= 4
+    hit = 0
+    for query, p in got.groupby("query_id"):
+        p = p.sort_values("rank")
+        assert p["rank"].tolist() == list(range(1, 21)) and query not in set(p.vec_id)
+        hit += (p.score >= brute(rows, query, 20)[-1][1] - 1e-9).sum()
+    assert got.query_id.nunique() == 220 and hit / len(got) >= 0.9
+
+
 def test_sample_counts_a_group_of_copies_once(spark):
     x = [[float(i), 1.0] for i in range(50)]
     df = spark.createDataFrame([(v,) for v in x] + [(x[3],)] * 500, "vec array<double>")
