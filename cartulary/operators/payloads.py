@@ -101,7 +101,7 @@ def endpoints(calls: DataFrame) -> DataFrame:
     segment that looks like an id are one, with ``:id``; each with the statuses and query names seen, the shape of
     its first body, and the first ids met."""
     leaf = F.try_element_at(F.filter(F.split("path", "/"), lambda s: s != ""), F.lit(-1))
-    parts = calls.where(F.col("path").isNotNull()).withColumns({"leaf": F.coalesce(leaf, F.lit("")), "prefix": F.regexp_replace(F.regexp_replace("path", "/+", "/"), "/[^/]+/?$", "")})
+    parts = calls.where(F.col("path").isNotNull()).withColumns({"leaf": F.coalesce(leaf, F.lit("")), "prefix": F.regexp_replace(F.regexp_replace("path", "/+", "/"), "/[^/]*/?$", "")})
     # one row for each distinct leaf, and the first bodies and sets, before anything is joined
     leaves = parts.groupBy("method", "prefix", "leaf").agg(F.min("seq").alias("seq"), F.count("*").alias("calls"), F.collect_set("status").alias("statuses"), F.array_distinct(F.flatten(F.collect_set("query"))).alias("query"), F.min(F.when(F.col("body").isNotNull(), F.struct("seq", "body"))).alias("body"))
     like_id = F.col("leaf").rlike("[0-9]") | (F.length("leaf") > 6)
