@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
 from . import audits, markup, scripts
 from .audits import attr, has, present
 
@@ -47,7 +48,7 @@ def node_measures(nodes: DataFrame) -> DataFrame:
     handlers = F.size(F.filter(F.map_keys("attrs"), lambda k: k.rlike("^on[a-z]+$")))
     return nodes.agg(
         _sum(frame & ~has("title")).alias("untitled"), _sum(frame).alias("frames"), _sum(foreign & ~present("sandbox")).alias("unsandboxed"), _sum(foreign).alias("foreign"),
-        _sum(video).alias("videos"), _sum(wanting).alias("wanting"), _sum(image).alias("images"),
+        _sum(video).alias("videos"), _sum(tag == "table").alias("tables"), _sum(wanting).alias("wanting"), _sum(image).alias("images"),
         _sum((F.coalesce(attr("tabindex").try_cast("int"), F.lit(0)) > 0) | present("autofocus") | present("accesskey")).alias("focus"),
         (_sum(present("style")) + _sum(tag == "style") + _sum((tag == "script") & ~has("src"))).alias("inline"),
         F.coalesce(F.sum(F.when(tag != "#text", handlers)), F.lit(0)).alias("handlers"),
@@ -64,49 +65,55 @@ def font_faces(pages: DataFrame, html_col: str = "html") -> DataFrame:
 def scorecards(pages: DataFrame, nodes: DataFrame, only: set[str] | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(card, concern, present, n, of)``; ``nodes``: the stored node table of ``pages``; ``only``: the concerns that are measured."""
     spark = pages.sparkSession
-    by_node = node_measures(nodes)
+    # one pass over the pages for all patterns: a row for each rule, and one over the nodes
+    rules = {f"{concern}/{rule}": pattern for concern, kinds in (("focus", {"call": _FOCUS_CALL}), ("sharp", SHARP), ("cookies", {"write": COOKIE_WRITE, "consent": CONSENT}), ("trackers", TRACKERS), ("habits", HABITS)) for rule, pattern in kinds.items()}
+    rules |= {f"opened/{kind}": pattern for pattern, _, kind in scripts.PAIRED}
+    hits = materialize(scripts.matches(pages, rules, id_col, html_col).groupBy("rule").agg(F.count("*").alias("hits")))
+    left = materialize(scripts.unpaired(pages, id_col, html_col).groupBy(F.concat(F.lit("opened/"), "kind").alias("rule")).agg(F.count("*").alias("hits")))
+    by_node = materialize(node_measures(nodes))
     rows: dict[str, DataFrame] = {}
 
-    def one(concern: str, df: DataFrame, n: Column, of: Column | None = None) -> None:
-        rows[concern] = df.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n"), (of if of is not None else F.lit(None)).cast("long").alias("of"))
+    def of(name: str, concern: str, table: DataFrame = hits) -> DataFrame:
+        """One row: how often the rules of a concern match."""
+        return table.where(F.col("rule").startswith(f"{concern}/")).agg(F.coalesce(F.sum("hits"), F.lit(0)).alias(name))
 
-    def node(concern: str, n: Column, of: Column | None = None) -> None:
-        rows[concern] = by_node.select(n.cast("long").alias("n"), (of if of is not None else F.lit(None)).cast("long").alias("of"))
+    def one(concern: str, df: DataFrame, n: Column, total: Column | None = None) -> None:
+        rows[concern] = df.agg(F.coalesce(n, F.lit(0)).alias("n"), (total if total is not None else F.lit(None)).alias("of"))
+
+    def with_nodes(concern: str, n: Column, total: Column | None = None, *others: DataFrame) -> None:
+        joined = by_node
+        for other in others:
+            joined = joined.crossJoin(other)  # one row each
+        rows[concern] = joined.select(n.alias("n"), (total if total is not None else F.lit(None)).alias("of"))
 
-    found = lambda rules: scripts.matches(pages, rules, id_col, html_col)
     gaps = audits.landmarks(nodes).select("page_id").distinct().withColumn("gap", F.lit(True))
     one("landmarks", nodes.select("page_id").distinct().join(gaps, "page_id", "left"), F.count_if("gap"), F.count("*"))
     one("control names", audits.unlabelled_controls(nodes), F.count("*"))
-    rows["focus"] = by_node.crossJoin(found({"focus": _FOCUS_CALL}).agg(F.count("*").alias("calls"))).select((F.col("focus") + F.col("calls")).alias("n"), F.lit(None).cast("long").alias("of"))  # one row each
-    silent = audits.media(nodes).where("kind = 'no-captions'").agg(F.count("*").alias("n"))
-    rows["media captions"] = silent.crossJoin(by_node.select(F.col("videos").alias("of")))  # one row each
-    tables = nodes.where("tag = 'table'").agg(F.count("*").alias("of"))
-    rows["tables"] = audits.data_tables(nodes).where("kind in ('no-caption', 'header-without-scope')").agg(F.count("*").alias("n")).crossJoin(tables)  # one row each
+    with_nodes("focus", F.col("focus") + F.col("calls"), None, of("calls", "focus"))
+    with_nodes("media captions", F.col("silent"), F.col("videos"), audits.media(nodes).where("kind = 'no-captions'").agg(F.count("*").alias("silent")))
+    with_nodes("tables", F.col("gaps"), F.col("tables"), audits.data_tables(nodes).where("kind in ('no-caption', 'header-without-scope')").agg(F.count("*").alias("gaps")))
     one("keyboard", audits.keyboard(nodes).where("kind = 'no-tabindex'"), F.count("*"))
-    node("iframes", F.col("untitled"), F.col("frames"))
+    with_nodes("iframes", F.col("untitled"), F.col("frames"))
 
-    sharp = found(SHARP).agg(F.count("*").alias("calls")).crossJoin(audits.blank_targets(nodes).agg(F.count("*").alias("links")))
-    rows["markup and script"] = by_node.crossJoin(sharp).select((F.col("handlers") + F.col("calls") + F.col("links")).alias("n"), F.lit(None).cast("long").alias("of"))  # one row each
+    with_nodes("markup and script", F.col("handlers") + F.col("calls") + F.col("links"), None, of("calls", "sharp"), audits.blank_targets(nodes).agg(F.count("*").alias("links")))
     one("supply chain", audits.supply_chain(nodes), F.count_if(~F.col("integrity")), F.count("*"))
-    node("iframe sandbox", F.col("unsandboxed"), F.col("foreign"))
-    cookies = found({"write": COOKIE_WRITE, "consent": CONSENT}).agg(F.count_if(F.col("rule") == "write").alias("w"), F.count_if(F.col("rule") == "consent").alias("c"))
-    rows["cookies and consent"] = cookies.select(F.when(F.col("c") > 0, 0).otherwise(F.col("w")).cast("long").alias("n"), F.lit(None).cast("long").alias("of"))
-    one("trackers", found(TRACKERS).select("rule").distinct(), F.count("*"))
+    with_nodes("iframe sandbox", F.col("unsandboxed"), F.col("foreign"))
+    one("cookies and consent", hits, F.when(F.sum(F.when(F.col("rule") == "cookies/consent", F.col("hits"))) > 0, 0).otherwise(F.sum(F.when(F.col("rule") == "cookies/write", F.col("hits")))))
+    one("trackers", hits, F.count_if(F.col("rule").startswith("trackers/")))
 
-    one("script habits", found(HABITS), F.count("*"))
+    rows["script habits"] = of("n", "habits").withColumn("of", F.lit(None))
     one("first paint", audits.render_blocking(nodes), F.count("*"))
-    node("inline style and script", F.col("inline"))
-    node("images", F.col("wanting"), F.col("images"))
+    with_nodes("inline style and script", F.col("inline"))
+    with_nodes("images", F.col("wanting"), F.col("images"))
     large = (F.col("elements") > MOST_NODES) | (F.col("depth") > MOST_DEPTH) | (F.coalesce("widest", F.lit(0)) > MOST_CHILDREN)
     one("dom size", markup.dom_summary(nodes), F.count_if(large), F.count("*"))
     one("fonts", font_faces(pages, html_col), F.count_if("gap"), F.count("*"))
 
     pairs = {"timers": ("interval-never-cleared", "timeout-never-cleared", "frame-never-cancelled"), "listeners": ("listener-never-removed",), "observers": ("observer-never-disconnected",)}
-    opened = found({kind: pattern for pattern, _, kind in scripts.PAIRED}).groupBy(F.col("rule").alias("kind")).agg(F.count("*").alias("of"))
-    left = scripts.unpaired(pages, id_col, html_col).groupBy("kind").agg(F.count("*").alias("n"))
-    both = opened.join(left, "kind", "left")  # six kinds at most
     for concern, kinds in pairs.items():
-        one(concern, both.where(F.col("kind").isin(*kinds)), F.sum("n"), F.coalesce(F.sum("of"), F.lit(0)))
+        mine = F.col("rule").isin(*[f"opened/{kind}" for kind in kinds])
+        total = lambda table, name: table.where(mine).agg(F.coalesce(F.sum("hits"), F.lit(0)).alias(name))  # noqa: E731, B023
+        rows[concern] = total(left, "n").crossJoin(total(hits, "of"))  # one row each
 
     out = None
     for card, concerns in CARDS.items():
