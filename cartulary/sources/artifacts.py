@@ -30,13 +30,13 @@ def har_calls(spark: SparkSession, path: str) -> DataFrame:
 
 def ddl_tables(spark: SparkSession, path: str) -> DataFrame:
     """``(table)``: names in CREATE TABLE statements."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`\[]?([A-Za-z_][A-Za-z0-9_.]*)"))).alias("table")).distinct()
 
 
 def csv_fields(spark: SparkSession, path: str) -> DataFrame:
     """``(file, fields)``: the first line's parts between commas, trimmed; quotes have no meaning."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.split("value", "\r?\n")[0].alias("line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n")[0].alias("line"))
     return lines.select("file", F.transform(F.split("line", ","), lambda f: F.trim(f)).alias("fields"))
 
 
@@ -56,7 +56,7 @@ def missing_demand(log: DataFrame) -> DataFrame:
 
 def robots_rules(spark: SparkSession, path: str, agent: str = "*") -> DataFrame:
     """``(allow, pattern)`` that apply to ``agent``: a user-agent line replaces the one before it."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     parts = lines.select("file", "pos", F.lower(F.trim(F.regexp_extract("line", "^([^:#]*):", 1))).alias("key"), F.trim(F.regexp_extract("line", "^[^:#]*:([^#]*)", 1)).alias("rule"))
     w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     agents = parts.withColumn("agent", F.last(F.when(F.col("key") == "user-agent", F.lower("rule")), ignorenulls=True).over(w))
@@ -100,7 +100,7 @@ def robots_verdicts(paths: DataFrame, rules: DataFrame, path_col: str = "path",
 
 def sitemap_urls(spark: SparkSession, path: str, origin: str) -> DataFrame:
     """``(url)``: locations of sitemaps that belong to ``origin``."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     found = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"))).alias("url"))
     return found.where(F.col("url").startswith(origin)).distinct()
 
@@ -117,7 +117,7 @@ def deref(document: dict, schema: dict, depth: int = 6) -> dict:
 
 def openapi_operations(spark: SparkSession, path: str) -> DataFrame:
     """``(method, path, operation_id, deprecated)`` of specifications in JSON."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.parse_json("value").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     by_path = text.lateralJoin(spark.tvf.variant_explode(F.variant_get(F.col("v").outer(), "$.paths", "variant"))).select(F.col("key").alias("path"), F.col("value").alias("operations"))
     each = by_path.lateralJoin(spark.tvf.variant_explode(F.col("operations").outer())).where(F.col("key").isin("get", "put", "post", "delete", "patch", "head", "options"))
     get = lambda field, kind: F.try_variant_get("value", f"$.{field}", kind)

@@ -42,6 +42,17 @@ def test_text_artifacts(spark, tmp_path):
     assert [tuple(r) for r in artifacts.missing_demand(log).collect()] == [("/x", 2), ("/y", 1)]
 
 
+def test_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "t.sql").write_text("create\n  table if not exists\n  one (a int);\nCREATE TABLE two (b int);")
+    assert {r.table for r in artifacts.ddl_tables(spark, str(tmp_path / "t.sql")).collect()} == {"one", "two"}
+    (tmp_path / "h.csv").write_text("a, b\nc,d\n")
+    assert [r.fields for r in artifacts.csv_fields(spark, str(tmp_path / "h.csv")).collect()] == [["a", "b"]]
+    (tmp_path / "r.txt").write_text("".join(f"User-agent: {a}\nDisallow: /{a}{i}\n" for i in range(200) for a in ("x", "*")))
+    assert {r.pattern for r in artifacts.robots_rules(spark, str(tmp_path / "r.txt")).collect()} == {f"/*{i}" for i in range(200)}
+    (tmp_path / "m.xml").write_text("<urlset><url><loc>\n  https://h/a\n</loc></url></urlset>")
+    assert [r.url for r in artifacts.sitemap_urls(spark, str(tmp_path / "m.xml"), "https://h/").collect()] == ["https://h/a"]
+
+
 def test_robots_and_sitemap(spark, tmp_path):
     (tmp_path / "robots.txt").write_text("User-agent: bad\nDisallow: /\nUser-agent: *\nDisallow: /a\nAllow: /a/b\nDisallow: /a/b # tie\n")
     rules = artifacts.robots_rules(spark, str(tmp_path / "robots.txt"))
