@@ -19,8 +19,9 @@ mapping has, and one that is not JSON, has null turns and null output
 cannot be parsed is an error, for a limit of the parser cannot be told from bad
 JSON there; a record without turns is the empty text; repeated records are
 formatted each for itself; an empty table gives an empty result; other columns
-pass through, but for those with the names of new columns and ``__found``,
-``__pieces``, which are replaced or dropped.
+pass through, but for those with the names of new columns and of steps on the way
+(``__variant``, ``__paths``, ``__hashes``, ``__layout``, ``__pieces`` and the lists'),
+which are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -48,54 +49,45 @@ ROLES, CONTENTS = ("role", "from"), ("content", "value", "text")
 RENAMED = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 
 
-def get(value: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(value, F.lit(path), kind)
+def get(value: str, path: str, kind: str = "variant") -> str:
+    return f"try_variant_get({value}, '{path}', '{kind}')"
 
 
-def text_of(value: Column) -> Column:
+def text_of(value: str) -> str:
     """A content as text: as it is, the texts of its parts, or its JSON."""
-    part = lambda p: F.coalesce(get(p, "$.text", "string"), get(p, "$", "string"), F.lit(""))
-    return F.coalesce(F.array_join(F.transform(get(value, "$", "array<variant>"), part), ""), get(value, "$", "string"))
+    part = f"coalesce({get('p', '$.text', 'string')}, {get('p', '$', 'string')}, '')"
+    return f"coalesce(array_join(transform({get(value, '$', 'array<variant>')}, p -> {part}), ''), {get(value, '$', 'string')})"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """A record layout: alternatives of field paths, of each of which it needs one, what it takes, and its mapping from a variant to turns."""
+    """A record layout: alternatives of field paths, of each of which it needs one, what it takes, and the SQL of its
+    mapping from ``__variant``, and from its list of turns in a column of the list's name, to turns."""
 
     name: str
     needs: tuple[tuple[str, ...], ...]
     takes: tuple[str, ...]
-    turns: Callable[[Column], Column]
+    turns: str
 
 
 def _list(field: str) -> list[Layout]:
     """A list of turns, and an empty one."""
     inside = lambda names: tuple(f"{field}[].{n}" for n in names)
-
-    def turn(m: Column) -> Column:
-        named = get(m, "$.from", "string")
-        for old, new in RENAMED.items():
-            named = F.when(get(m, "$.from", "string") == old, new).otherwise(named)
-        text = F.coalesce(*[text_of(get(m, f"$.{c}")) for c in CONTENTS])
-        return F.struct(F.coalesce(get(m, "$.role", "string"), named).alias("role"), text.alias("text"))
-
+    said = get("m", "$.from", "string")
+    named = f"CASE {said} {' '.join(f'WHEN {old!r} THEN {new!r}' for old, new in RENAMED.items())} ELSE {said} END"
+    text = ", ".join(text_of(get("m", f"$.{c}")) for c in CONTENTS)
     return [
-        Layout(field, (inside(ROLES), inside(CONTENTS)), inside(ROLES), lambda v: F.transform(get(v, f"$.{field}", "array<variant>"), turn)),
-        Layout(f"{field}_empty", ((f"{field}[]empty",),), (f"{field}[]empty",), lambda v: F.array().cast(TURNS)),
+        Layout(field, (inside(ROLES), inside(CONTENTS)), inside(ROLES), f"transform(__{field}, m -> struct(coalesce({get('m', '$.role', 'string')}, {named}) AS role, coalesce({text}) AS text))"),
+        Layout(f"{field}_empty", ((f"{field}[]empty",),), (f"{field}[]empty",), f"CAST(array() AS {TURNS})"),
     ]
 
 
 def _pair(question: str, answer: str, more: str | None = None) -> Layout:
     """Two texts, a question and an answer; ``more`` goes below the question."""
-
-    def turns(v: Column) -> Column:
-        asked = text_of(get(v, f"$.{question}"))
-        if more:
-            asked = F.concat_ws("\n\n", asked, F.nullif(text_of(get(v, f"$.{more}")), F.lit("")))
-        return F.array(F.struct(F.lit("user").alias("role"), asked.alias("text")), F.struct(F.lit("assistant").alias("role"), text_of(get(v, f"$.{answer}")).alias("text")))
-
+    of = lambda field: text_of(get("__variant", f"$.{field}"))
+    asked = f"concat_ws('\\n\\n', {of(question)}, nullif({of(more)}, ''))" if more else of(question)
     fields = tuple(x for x in (question, more, answer) if x)
-    return Layout("_".join(fields), tuple((x,) for x in fields), fields, turns)
+    return Layout("_".join(fields), tuple((x,) for x in fields), fields, f"array(struct('user' AS role, {asked} AS text), struct('assistant' AS role, {of(answer)} AS text))")
 
 
 #: In order of preference.
@@ -113,54 +105,55 @@ LAYOUTS = (
 )
 
 
-def list_paths(variant: Column, field: str) -> Column:
-    """The paths below a list of turns; null if the record has no such list."""
-    having = lambda turns, name: F.when(F.exists(turns, lambda t: get(t, f"$.{name}").isNotNull()), f"{field}[].{name}")
-    return bound(get(variant, f"$.{field}", "array<variant>"), lambda turns: F.array(F.when(F.size(turns) == 0, f"{field}[]empty"), *[having(turns, n) for n in (*ROLES, *CONTENTS)]))
+def list_paths(field: str) -> str:
+    """The paths below a list of turns; none if the record has no such list."""
+    having = ", ".join(f"CASE WHEN exists(__{field}, t -> {get('t', f'$.{n}')} IS NOT NULL) THEN '{field}[].{n}' END" for n in (*ROLES, *CONTENTS))
+    return f"CASE WHEN __{field} IS NULL THEN CAST(array() AS array<string>) ELSE array(CASE WHEN size(__{field}) = 0 THEN '{field}[]empty' END, {having}) END"
 
 
-def field_paths(variant: Column) -> Column:
+def field_paths() -> str:
     """The nested paths of the fields of a record that some layout knows."""
-    texts = F.array(*[F.when(get(variant, f"$.{f}").isNotNull(), f) for f in (*TEXTS, *SYSTEM)])
-    return F.array_compact(F.concat(texts, *[list_paths(variant, field) for field in LISTS]))
+    texts = ", ".join(f"CASE WHEN {get('__variant', f'$.{f}')} IS NOT NULL THEN '{f}' END" for f in (*TEXTS, *SYSTEM))
+    return f"array_compact(concat(array({texts}), {', '.join(map(list_paths, LISTS))}))"
 
 
-def fingerprint(path: Column) -> Column:
-    return F.xxhash64(path)
+def _strings(values: tuple[str, ...] | list[str]) -> str:
+    return f"array({', '.join(map(repr, values))})"
 
 
 def canonical_turns(records: DataFrame, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``records`` with ``layout_fingerprint``, ``layout``, ``turns`` and ``left_over``."""
-    variant = F.try_parse_json(F.col(record_col))
-    full = lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
-
-    def chosen(hashes: Column) -> Column:
-        number = F.lit(None).cast("int")
-        for i, layout in reversed(list(enumerate(layouts))):
-            fits = F.lit(True)
-            for either in layout.needs:
-                fits = fits & F.arrays_overlap(hashes, F.array(*[fingerprint(F.lit(p)) for p in either]))
-            number = F.when(fits, i).otherwise(number)
-        return number
-
-    def mapped(v: Column, paths: Column, number: Column) -> Column:
-        turns, name, left = F.lit(None).cast(TURNS), F.lit(None).cast("string"), paths
-        for i, layout in enumerate(layouts):
-            turns = F.when(number == i, layout.turns(v)).otherwise(turns)
-            name = F.when(number == i, layout.name).otherwise(name)
-            content = F.slice(F.filter(F.array(*[F.lit(p) for either in layout.needs[1:] if "[]" in either[0] for p in either]).cast("array<string>"), lambda p: F.array_contains(paths, p)), F.lit(1), F.lit(1))
-            taken = F.concat(F.array(*[F.lit(p) for p in (*layout.takes, *SYSTEM)]), content)
-            left = F.when(number == i, F.array_except(paths, taken)).otherwise(left)
-        system = F.filter(F.array(*[F.struct(F.lit("system").alias("role"), text_of(get(v, f"$.{s}")).alias("text")) for s in SYSTEM]), lambda t: F.length(t["text"]) > 0)
-        whole = F.when(turns.isNotNull(), F.concat(system, F.transform(turns, full)))
-        marks = F.when(F.size(paths) > 0, fingerprint(F.array_join(paths, " ")))
-        return F.struct(marks.alias("layout_fingerprint"), name.alias("layout"), whole.alias("turns"), left.alias("left_over"))
-
-    found = bound(variant, lambda v: bound(field_paths(v), lambda paths: bound(chosen(F.transform(paths, fingerprint)), lambda number: mapped(v, paths, number))))
-    lost = (F.octet_length(record_col) >= LARGE) & variant.isNull()
-    failed = F.raise_error(F.concat(F.lit("a record cannot be parsed; its bytes: "), F.octet_length(record_col).cast("string")))
-    out = records.withColumn("__found", F.when(lost, failed).otherwise(found))
-    return out.withColumns({c: F.col("__found")[c] for c in ("layout_fingerprint", "layout", "turns", "left_over")}).drop("__found")
+    lost = (F.octet_length(record_col) >= LARGE) & F.col("__variant").isNull()
+    failed = F.raise_error(F.concat(F.lit("a record cannot be parsed; its bytes: "), F.octet_length(record_col).cast("string"))).cast("array<string>")
+    # a step each, so that what is used more than once is computed once
+    found = records.withColumn("__variant", F.try_parse_json(F.col(record_col)))
+    found = found.withColumns({f"__{f}": F.expr(get("__variant", f"$.{f}", "array<variant>")) for f in LISTS})
+    found = found.withColumn("__paths", F.when(lost, failed).when(F.col("__variant").isNotNull(), F.expr(field_paths())))
+    found = found.withColumn("__hashes", F.expr("transform(__paths, p -> xxhash64(p))"))
+
+    fits = lambda layout: " AND ".join(f"arrays_overlap(__hashes, array({', '.join(f'xxhash64({p!r})' for p in either)}))" for either in layout.needs)
+    found = found.withColumn("__layout", F.expr(f"CASE {' '.join(f'WHEN {fits(x)} THEN {i}' for i, x in enumerate(layouts))} END"))
+
+    def left(layout: Layout) -> str:
+        contents = [p for either in layout.needs[1:] if "[]" in either[0] for p in either]
+        first = f"slice(filter({_strings(contents)}, p -> array_contains(__paths, p)), 1, 1)" if contents else "CAST(array() AS array<string>)"
+        return f"array_except(__paths, concat({_strings([*layout.takes, *SYSTEM])}, {first}))"
+
+    def by_layout(of: Callable[[Layout], str], other: str) -> str:
+        return f"CASE __layout {' '.join(f'WHEN {i} THEN {of(x)}' for i, x in enumerate(layouts))} ELSE {other} END"
+
+    system = ", ".join(f"struct('system' AS role, {text_of(get('__variant', f'$.{f}'))} AS text)" for f in SYSTEM)
+    has_system = " OR ".join(f"array_contains(__paths, '{f}')" for f in SYSTEM)
+    before = f"CASE WHEN {has_system} THEN filter(array({system}), t -> length(t.text) > 0) ELSE CAST(array() AS {TURNS}) END"
+    found = found.withColumn("turns", F.expr(by_layout(lambda x: x.turns, "NULL"))).withColumns(
+        {
+            "turns": F.expr(f"concat({before}, transform(turns, t -> struct(coalesce(t.role, '') AS role, coalesce(t.text, '') AS text)))"),
+            "layout_fingerprint": F.expr("CASE WHEN size(__paths) > 0 THEN xxhash64(array_join(__paths, ' ')) END"),
+            "layout": F.expr(by_layout(lambda x: f"'{x.name}'", "NULL")),
+            "left_over": F.expr(by_layout(left, "__paths")),
+        }
+    )
+    return found.drop("__variant", "__paths", "__hashes", "__layout", *[f"__{f}" for f in LISTS])
 
 
 def layout_counts(found: DataFrame) -> DataFrame:
