@@ -19,7 +19,11 @@ from ..plans.scratch import drop_path, materialize, scratch_dir
 
 def kind_of(value: Column) -> Column:
     """null, boolean, integer, number, string, object or array."""
-    raw = F.schema_of_variant(value)
+    return kind_of_schema(F.schema_of_variant(value))
+
+
+def kind_of_schema(raw: Column) -> Column:
+    """The same by the schema of a variant."""
     return (
         F.when(raw == "VOID", "null")
         .when(raw == "BOOLEAN", "boolean")
@@ -41,9 +45,12 @@ def typed_paths(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
     spark = rows.sparkSession
     value = F.try_parse_json(payload)
     own = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_none"))
-    level = rows.where(F.col(payload).isNotNull()).select(own.alias("_keys"), F.lit("").alias("path"), F.when(value.isNull(), "invalid").otherwise(kind_of(value)).alias("type"), value.alias("value"))
+    level = rows.where(F.col(payload).isNotNull()).select(own.alias("_keys"), F.lit("").alias("path"), value.alias("value"))
     counts, old = [], None
     while True:
+        # the schema is a step of its own, so that it is made once for each value
+        typed = level.withColumn("_schema", F.schema_of_variant("value"))
+        level = typed.select("_keys", "path", F.when(F.col("value").isNull(), "invalid").otherwise(kind_of_schema(F.col("_schema"))).alias("type"), "value")
         counts.append(materialize(level.groupBy("_keys", "path", "type").agg(F.count("*").alias("n"))))
         if not counts[-1].where("type in ('object', 'array')").take(1):
             break
@@ -56,7 +63,7 @@ def typed_paths(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
         child = inner.withColumnsRenamed({"value": "_container", "type": "_kind", "path": "_path"}).lateralJoin(spark.tvf.variant_explode(F.col("_container").outer()))
         name = F.when(F.col("key").rlike("^[A-Za-z_][A-Za-z0-9_-]*$"), F.col("key")).otherwise(F.concat(F.lit('"'), F.replace("key", F.lit('"'), F.lit('\\"')), F.lit('"')))
         step = F.when(F.col("_kind") == "array", "[]").otherwise(F.concat(F.lit("."), name))
-        level = child.select("_keys", F.concat("_path", step).alias("path"), kind_of(F.col("value")).alias("type"), "value")
+        level = child.select("_keys", F.concat("_path", step).alias("path"), "value")
     return combine(*counts, keys=["_keys"]).select(*[F.col("_keys")[k].alias(k) for k in keys], "path", "type", "n")
 
 
