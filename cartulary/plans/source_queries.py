@@ -87,9 +87,9 @@ _CALL = "CASE event_type WHEN 'click' THEN '.then(' WHEN 'error' THEN '.catch('
 def async_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long promise chains in the events of each user, written as a script."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    minute = lambda c: F.floor(F.unix_timestamp(c) / 60)
-    gap = F.least(F.lit(900), F.coalesce(minute("ts") - minute(F.lag("ts").over(w)), F.lit(0))).cast("int")
-    pieces = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.concat(F.repeat(F.lit(" "), gap), F.expr(_CALL), "props", F.lit(")")).alias("piece"))
+    minute = F.expr("cast(rint(unix_micros(cast(ts AS timestamp)) / 1e6D) AS bigint) div 60")  # of the nearest second, as in the SQL
+    gap = F.least(F.lit(900), F.coalesce(F.col("minute") - F.lag("minute").over(w), F.lit(0))).cast("int")
+    pieces = table(spark, sf_dir, "events").withColumn("minute", minute).select("user_id", "ts", "event_id", F.concat(F.repeat(F.lit(" "), gap), F.expr(_CALL), "props", F.lit(")")).alias("piece"))
     written = pieces.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "piece"))).alias("p")).select("user_id", F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("text"))
     return scripts.async_findings(written, "user_id", "text")
 
