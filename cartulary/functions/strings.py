@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 #: The entities that text is commonly escaped with. Fixed values; the ampersand comes last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
@@ -82,4 +84,5 @@ def match_ranges(text: Column, asked: Column) -> Column:
             out.append(found)
         return pd.Series(out)
 
+    small_batches(SparkSession.active())
     return ranges(text, asked)

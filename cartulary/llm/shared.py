@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.folds import bound, running_maxima, running_sums
 from ..operators.graph import connected_components
 from ..plans.scratch import materialize, scratch_dir
+from ..session import ARROW_BATCH_BYTES, small_batches
 
 __all__ = ["ARROW_BATCH_BYTES", "bound", "connected_components", "cut", "materialize", "running_maxima", "running_sums", "scratch_dir", "small_batches", "text_blocks"]
 
-#: Bytes of an Arrow batch in which rows go to Python workers.
-ARROW_BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Send rows to Python workers a few megabytes at a time: texts are long, and a worker should hold few."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-
-
 #: Code points of a block of text.
 TEXT_BLOCK = 1024
 

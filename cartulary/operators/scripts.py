@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 MATCHES = "id long, rule string, place long, line int, name string"
 #: Characters between two links of one chain at most, and links and open callbacks from which they are told: fixed values.
 CHAIN_GAP, LONG, DEEP = 400, 3, 3
@@ -35,6 +37,7 @@ def _rows(texts: DataFrame, schema: str, of_text: Callable[[str], list[tuple]],
             columns = list(zip(*rows)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], list(names))
 
+    small_batches(texts.sparkSession)
     return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 

@@ -3,7 +3,9 @@
 import datetime as dt
 
 import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_queries import rows
 
 import __spark_entry__ as entry
@@ -54,3 +56,13 @@ def test_references_that_are_cut_stay_as_they_are(spark, agree):
     (block,) = blocks.block_table(page, least=1).collect()
     assert block.chars == len(html)
     assert [(r["where"], r.value) for r in blocks.sentences(page).orderBy("place").collect()] == [("@title", "a &&amp b"), ("p", "﷐ &ltx & &#x26 &nope; &")]
+
+
+@pytest.mark.parametrize("name", ["scrape_markdown", "dsp_dom", "findings_all", "r19_shared_blocks", "dsp_i18n_sentences", "audit_unpaired"])
+def test_pages_go_to_python_in_batches_of_bounded_bytes(spark, tmp_path, name):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.createDataFrame([(1, "http://x/", "<p>two words</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    entry.queries()[name](spark, str(tmp_path)).count()
+    texts = spark.range(0, 48, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    assert sizes.agg(F.max("n")).first()[0] <= 10 << 20
