@@ -31,16 +31,17 @@ def focus_findings(elements: DataFrame) -> DataFrame:
     """Screens that set the order of focus by hand, and those where it leaves the order of reading: the first stop that does.
 
     A screen counts if all its controls have a place. Both orders are ranks
-    within a screen, joined by rank.
+    within a screen. Stops that share a place are read in the order of focus,
+    so that a tie is no departure.
     """
     control = F.col("tag").isin("input", "select", "textarea", "button", "a") | F.col("tabindex").isNotNull()
     stops = elements.where(control & ~F.coalesce("disabled", F.lit(False)))
     whole = stops.groupBy("screen").agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("lost")).where("n >= 2 and lost = 0").select("screen")
     stops = stops.join(whole, "screen").withColumn("set", F.coalesce("tabindex", F.lit(0)) > 0)
     by_hand = stops.where("set").groupBy("screen").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "selector"))), lambda s: s["selector"]), ", ").alias("element"))
-    tab = F.row_number().over(Window.partitionBy("screen").orderBy(F.when(F.col("set"), F.col("tabindex")).otherwise(2**31 - 1), "place", "y", "x"))
-    read = F.row_number().over(Window.partitionBy("screen").orderBy(F.floor(F.col("y") / ROW + 0.5), "x", "place", "y"))
-    ranks = stops.select("screen", "selector", tab.alias("tab"), read.alias("read"))
+    tab = F.row_number().over(Window.partitionBy("screen").orderBy(F.when(F.col("set"), F.col("tabindex")).otherwise(2**31 - 1), "place", "y", "x", "selector"))
+    read = F.row_number().over(Window.partitionBy("screen").orderBy(F.floor(F.col("y") / ROW + 0.5), "x", "place", "y", "tab"))
+    ranks = stops.withColumn("tab", tab).select("screen", "selector", "tab", read.alias("read"))
     first = ranks.where("tab <> read").groupBy("screen").agg(F.min_by("selector", "tab").alias("element"))
     return _findings(by_hand, "element", "focus-explicit", "medium").unionByName(_findings(first, "element", "focus-order", "medium"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_queries import rows
 
 import __spark_entry__ as entry
-from cartulary.operators import blocks
+from cartulary.operators import blocks, screens
 
 
 @pytest.fixture
@@ -66,3 +66,12 @@ def test_pages_go_to_python_in_batches_of_bounded_bytes(spark, tmp_path, name):
     texts = spark.range(0, 48, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
     sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
     assert sizes.agg(F.max("n")).first()[0] <= 10 << 20
+
+
+def test_stops_that_share_a_place_leave_no_order(spark):
+    """Two stops of one place: a tie of the order of reading alone, in either order of the rows."""
+    stop = lambda screen, place, selector, tabindex: (screen, place, selector, "button", "name", True, False, tabindex, 8.0, 10.0, 50.0, 50.0)
+    for a, b in ((0, 1), (1, 0)):
+        pair = [stop("s", 1, "#1", None), stop("s", 1, "#1", 1)], [stop("t", 1, "#a", None), stop("t", 1, "#b", None)]
+        df = spark.createDataFrame([p[i] for p in pair for i in (a, b)], screens.ELEMENT).coalesce(1)
+        assert [(r.screen, r.kind) for r in screens.focus_findings(df).collect()] == [("s", "focus-explicit")]
